@@ -164,21 +164,29 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep`` columns plus lang_pred and score."""
+    """``keep`` columns plus lang_pred and score. The text is sent once, whether it is kept or not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = b.column(b.num_columns - 1)
+            text = b.column(at)
             got = [model.predict(text[i].as_py()) for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names)
 
-    rows = docs.select(*keep, F.col(text_col).alias("__text"))
-    names = [*rows.columns[:-1], "lang_pred", "score"]
-    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, head + "lang_pred string, score double")
+    rows = docs.select(*keep) if text_col in keep else docs.select(*keep, F.col(text_col).alias("__text"))
+    at = keep.index(text_col) if text_col in keep else len(keep)
+    fields = rows.schema.fields[: len(keep)]
+    names = [*(f.name for f in fields), "__lang_pred", "__score"]
+    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
+    return rows.mapInArrow(run, head + "__lang_pred string, __score double")
+
+
+def reject_unknown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The documents whose language can be told, all columns; a missing label is filled with the prediction."""
+    got = predict(docs, fit(docs, id_col, text_col, lang_col), docs.columns, text_col)
+    return got.where(F.col("__lang_pred") != UND).withColumn(lang_col, F.coalesce(lang_col, "__lang_pred")).select(*docs.columns)
 
 
 def op6_hierarchical_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     got = predict(docs, fit(docs), ["doc_id"])
-    return got.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+    return got.select("doc_id", held_out("doc_id").alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
