@@ -307,7 +307,10 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = texts.sparkSession
     n_parts = parallelism(spark)
 
+    # One anchor per hash and batch stands for the others of its batch, which are known to be repeated (w = 2) and are
+    # dealt by a salt; so a hash that fills a third of all rows meets in one task only once per batch.
     def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spread = np.random.default_rng(1)
         for b in batches:
             text, held, size = _binary(b, 1), [], 0
             for i in range(b.num_rows):
@@ -316,12 +319,15 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                 size += len(x)
                 if size > 100_000 or i == b.num_rows - 1:
                     h, tid, x, span, lead = (np.concatenate(c) for c in zip(*held))
-                    yield pa.RecordBatch.from_arrays([pa.array(h), ids16(tid.tobytes()), pa.array(x), pa.array(span), pa.array(lead)], ["h", "tid", "pos", "span", "lead"])
+                    _, first, back, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                    salt = spread.integers(1, 1 << 31, len(h), dtype=np.int32)
+                    salt[first] = 0
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(salt), pa.array(np.minimum(n, 2)[back].astype(np.int32)), ids16(tid.tobytes()), pa.array(x), pa.array(span), pa.array(lead)], ["h", "salt", "w", "tid", "pos", "span", "lead"])
                     held, size = [], 0
 
-    found = texts.select("tid", "text").mapInArrow(find_anchors, "h long, tid binary, pos int, span int, lead long")
-    of_hash = Window.partitionBy("h")
-    shared = spill(found.withColumn("c", F.count("*").over(of_hash)).where("c > 1").select("tid", "pos", "span", "lead"), "anchors")
+    found = texts.select("tid", "text").mapInArrow(find_anchors, "h long, salt int, w int, tid binary, pos int, span int, lead long")
+    of_hash = Window.partitionBy("h", "salt")
+    shared = spill(found.withColumn("c", F.sum("w").over(of_hash)).where("c > 1").select("tid", "pos", "span", "lead"), "anchors")
 
     # splitters: a bounded quantile summary of the first bytes
     q = [k / n_parts for k in range(1, n_parts)]
