@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.llm.common import table
 
-PER_LANG = 400  # labelled texts of each language in the training sample
+PER_LANG = 250  # labelled texts of each language in the training sample
 DIM = 1 << 14
 FAMILIES = {
     "germanic": "de en nl sv da no nb nn is af fy lb yi",
@@ -138,11 +138,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         for b in batches:
             at, val = [], []
             for i in range(b.num_rows):
-                v = grams(b.column(1)[i].as_py())
+                v = grams(b.column(2)[i].as_py())
                 k = np.flatnonzero(v)
                 at.append(k.astype(np.int32))
                 val.append(v[k])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32()))], ["lang", "at", "val"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32()))], ["lang", "o", "at", "val"])
 
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where(F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}") & ~held_out("i"))
     keyed = rows.select("l", "t", F.xxhash64("i", F.lit("sample")).alias("o"))
@@ -153,14 +153,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not limits:
         return LanguageModel()
     last = F.create_map(*[F.lit(x) for pair in sorted(limits.items()) for x in pair])
-    sample = keyed.where(F.col("o") <= F.try_element_at(last, F.col("l"))).select("l", "t")
-    got = sample.mapInArrow(sparse, "lang string, at array<int>, val array<float>").toArrow()
+    sample = keyed.where(F.col("o") <= F.try_element_at(last, F.col("l"))).select("l", "o", "t")
+    got = sample.mapInArrow(sparse, "lang string, o long, at array<int>, val array<float>").toArrow()
+    got = got.sort_by([("lang", "ascending"), ("o", "ascending")])  # the same model whatever order rows arrive in
     x = np.zeros((got.num_rows, DIM), np.float32)
     langs = got["lang"].to_pylist()
     for i, (k, v) in enumerate(zip(got["at"], got["val"])):
         x[i, k.values.to_numpy()] = v.values.to_numpy()
-    order_ = sorted(range(len(langs)), key=lambda i: (langs[i], x[i].tobytes()))  # the same model whatever order rows arrive in
-    return LanguageModel.fit(x[order_], [langs[i] for i in order_])
+    return LanguageModel.fit(x, langs)
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text") -> DataFrame:

@@ -31,12 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import drop, parallelism, shared_dir, spill, table
+from loomgrid.llm.common import parallelism, shared_dir, spill, table
 
 LENGTH = 200
 GRAM = 32
 CHUNK = 1 << 19  # starts of one text that are handled at a time
-RUN_BYTES = 24 << 20  # suffix bytes that a task sorts at a time
+RUN_BYTES = 16 << 20  # suffix bytes that a task sorts at a time
+SPLITTER_TEXTS = 1_000  # texts whose anchors set the borders between ranges
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 POWER = {k: np.uint64(pow(int(BASE), k, 1 << 64)) for k in (1, 2, 4, 8, 16, 32, 64)}
@@ -327,11 +328,12 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
     found = texts.select("tid", "text").mapInArrow(find_anchors, "h long, salt int, w int, tid binary, pos int, span int, lead long")
     of_hash = Window.partitionBy("h", "salt")
-    shared = spill(found.withColumn("c", F.sum("w").over(of_hash)).where("c > 1").select("tid", "pos", "span", "lead"), "anchors")
+    shared = found.withColumn("c", F.sum("w").over(of_hash)).where("c > 1").select("tid", "pos", "span")
 
-    # splitters: a bounded quantile summary of the first bytes
+    # Splitters only balance the ranges. The table is bucketed by a hash of the text, so its first rows are a random sample.
+    some = texts.select("tid", "text").limit(SPLITTER_TEXTS).mapInArrow(find_anchors, found.schema)
     q = [k / n_parts for k in range(1, n_parts)]
-    cut = shared.agg(F.percentile_approx("lead", F.array(*[F.lit(x) for x in q]), F.lit(max(1000, 20 * n_parts))).alias("q")).first()["q"] if q else None
+    cut = some.agg(F.percentile_approx("lead", F.array(*[F.lit(x) for x in q]), F.lit(max(1000, 20 * n_parts))).alias("q")).first()["q"] if q else None
     splitters = np.unique(np.array(cut or [], np.int64))
 
     per_text = shared.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("pos", "span"))).alias("a")).select("tid", F.col("a.pos").alias("pos"), F.col("a.span").alias("span"))
@@ -361,7 +363,6 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
         yield from flush()
 
     runs = spill(texts.select("tid", "text").join(per_text, "tid").mapInArrow(build_runs, RUNS), "runs")
-    drop(shared)
 
     def merge(t: pa.Table) -> pa.Table:
         found = repeated_offsets(list(zip(*(t[c].to_pylist() for c in ("lcp", "len", "tails", "twice", "side")))), s)
@@ -397,10 +398,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.list_(pa.int32())) for c in (zip(*rows) if rows else ((), ())))], ["tid", "starts", "ends"])
 
     sized = texts.select("tid", "copies", F.octet_length("text").alias("n"))
-    out = sized.join(proofs, "tid", "left").select("tid", "copies", "n", "pos", "mask").mapInArrow(spans, "tid binary, starts array<int>, ends array<int>")
-    out = spill(out, "spans")
-    drop(runs)
-    return out
+    return sized.join(proofs, "tid", "left").select("tid", "copies", "n", "pos", "mask").mapInArrow(spans, "tid binary, starts array<int>, ends array<int>")
 
 
 def ids16(raw: bytes) -> pa.Array:
