@@ -158,7 +158,9 @@ def link(prints: DataFrame, words: int, keys_of: Callable[[np.ndarray], np.ndarr
         out = []
         size = np.diff(np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys)))
         start = np.cumsum(size) - size
-        for n in np.unique(size[(size > 1) & (size <= 4)]).tolist():  # the many small buckets, all at once
+        sizes, times = np.unique(size, return_counts=True)
+        at_once = {n for n, t in zip(sizes.tolist(), times.tolist()) if 1 < n <= 4 or n <= 24 and t > 64}
+        for n in at_once - {1}:  # the many small buckets, all at once
             first = start[size == n]
             for i in range(n):
                 for j in range(i):
@@ -168,7 +170,8 @@ def link(prints: DataFrame, words: int, keys_of: Callable[[np.ndarray], np.ndarr
                         for k in np.flatnonzero(d <= 64 * words // 4).tolist():  # a first look; near() decides
                             if len(near(int(keys[p[k]]), f[p[k]], f[q[k]][None, :])):
                                 out.append((int(node[p[k]]), int(node[q[k]])))
-        for a, n in zip(start[size > 4].tolist(), size[size > 4].tolist()):
+        single = [(a, n) for a, n in zip(start[size > 4].tolist(), size[size > 4].tolist()) if n not in at_once]
+        for a, n in single:
             out += [(int(node[a + x]), int(node[a + y])) for x, y in forest(int(keys[a]), f[a : a + n], near)]
         return out
 
@@ -213,13 +216,15 @@ def op3_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORDS = 4
 STAGE_SHINGLE = 5
 SIMILARITY = 0.8
-BITS_OF_SIMILARITY = 40  # of 256: texts whose 5-word shingles have a Jaccard similarity of 0.8 differ in 39 bits on average
-RECALL = 0.97
+BITS_OF_SIMILARITY = 44  # of 256: a pair with a Jaccard similarity of 0.8 differs in 39 bits on average, 5.7 more or less
+RECALL = 0.97  # chance that a pair at exactly SIMILARITY shares a key
+LOAD_BITS = 4  # a bucket may hold 16 unrelated fingerprints before keys get longer
+LEAST_KEY_BITS = 20
 
 
 def key_plan(n: int, bits: int = 64 * WORDS) -> tuple[int, int]:
-    """Bits of a key so that unrelated fingerprints rarely meet among n, and the number of keys for RECALL at SIMILARITY."""
-    width = int(np.clip(math.ceil(math.log2(max(n, 2))) + 1, 14, 40))
+    """Bits of a key, so that few unrelated fingerprints of n meet, and the number of keys for RECALL at SIMILARITY."""
+    width = int(np.clip(math.ceil(math.log2(max(n, 2))) - LOAD_BITS, LEAST_KEY_BITS, 40))
     flip = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
     return width, math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - flip) ** width))
 
@@ -277,6 +282,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     of_row = groups.groupBy("rid").agg(F.count("*").alias("n"))
     chosen = spill(best.select(F.col("b.rid").alias("rid")).join(of_row, "rid").select(F.col("rid").alias("__rid"), "n"), "chosen")
     rows = docs.withColumn("__rid", row_id(id_col, text_col))
-    single = rows.join(chosen.where("n = 1").select("__rid"), "__rid", "left_semi")
-    repeated = rows.join(chosen.where("n > 1").select("__rid"), "__rid", "left_semi").dropDuplicates(["__rid"])
+    single = rows.join(chosen.where("n = 1").select("__rid").hint("merge"), "__rid", "left_semi")
+    repeated = rows.join(chosen.where("n > 1").select("__rid").hint("merge"), "__rid", "left_semi").dropDuplicates(["__rid"])
     return single.unionByName(repeated).select(*docs.columns)
