@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomgrid.plans import relational
+from loomgrid.plans import relational, spatial, workbench
 
-MODULES = [relational]
+MODULES = [relational, workbench, spatial]
 
 
 def queries() -> dict:
