@@ -178,6 +178,22 @@ def _read_table(frame: bytes, h: Header, s: Stream) -> bool:
     return False
 
 
+def _leads_on(data: bytes, at: int, h: Header) -> bool:
+    nxt = parse_header(data[at + h.length : at + h.length + 4])
+    return nxt is not None and nxt.kind == h.kind
+
+
+def _better_inside(data: bytes, at: int, h: Header, end: int) -> bool:
+    """Whether a frame of the same kind that leads on to another starts inside this one."""
+    i = data.find(b"\xff", at + 1, at + h.length)
+    while i >= 0:
+        x = parse_header(data[i : i + 4])
+        if x is not None and x.kind == h.kind and i + x.length + 4 <= end and _leads_on(data, i, x):
+            return True
+        i = data.find(b"\xff", i + 1, at + h.length)
+    return False
+
+
 def read_stream(data: bytes, bodies: bool = False) -> Stream:
     s = Stream()
     s.tags, at = read_id3(data)
@@ -188,9 +204,9 @@ def read_stream(data: bytes, bodies: bool = False) -> Stream:
     while at + 4 <= end:
         h = parse_header(data[at : at + 4])
         ok = h is not None and at + h.length <= end and (kind is None or h.kind == kind)
-        if ok and (kind is None or lost) and at + h.length + 4 <= end:  # a sync found by searching must lead to another
-            nxt = parse_header(data[at + h.length : at + h.length + 4])
-            ok = nxt is not None and nxt.kind == h.kind
+        if ok and at + h.length + 4 <= end and not _leads_on(data, at, h):
+            # a sync found by searching must lead to another; a frame in its place is given up if a better one starts inside it
+            ok = kind is not None and not lost and not _better_inside(data, at, h, end)
         if not ok:
             step = data.find(b"\xff", at + 1, end)
             step = end if step < 0 else step
