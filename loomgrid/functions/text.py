@@ -57,12 +57,16 @@ def street_tokens(c: Column) -> Column:
     return canonical_tokens(F.array_join(full, " "))
 
 
-def address_score(a: Column, b: Column) -> Column:
-    sa, sb, na, nb = street_tokens(a), street_tokens(b), house_number(a), house_number(b)
+def street_score(sa: Column, sb: Column, na: Column, nb: Column) -> Column:
+    """Of street tokens and house numbers: 70 % street and 30 % number, or the street alone if neither side has a number."""
     street = F.when((F.size(sa) > 0) & (F.size(sb) > 0), jaccard(sa, sb)).otherwise(F.lit(0.0))
     return F.when((na == "") & (nb == ""), street).otherwise(0.7 * street + 0.3 * F.when(na == nb, 1.0).otherwise(0.0))
 
 
+def address_score(a: Column, b: Column) -> Column:
+    return street_score(street_tokens(a), street_tokens(b), house_number(a), house_number(b))
+
+
 def number_of(c: Column) -> Column:
     return F.replace(F.trim(c), F.lit(","), F.lit(".")).try_cast("double")
 

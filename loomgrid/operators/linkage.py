@@ -31,20 +31,34 @@ class Rule:
     group: str = ""
 
 
-def field_score(a: Column, b: Column, r: Rule) -> Column:
+def prepare(df: DataFrame, side: str, rules: list[Rule]) -> DataFrame:
+    """What a side's cells are compared by, computed once per distinct row and not once per pair."""
+    out = df
+    for i, r in enumerate(rules):
+        c = F.col(f"{side}_{i}")
+        if r.method in ("normalized", "token_set", "similarity"):
+            out = out.withColumn(f"{side}k_{i}", X.canonical_tokens(c))
+        elif r.method == "address":
+            out = out.withColumn(f"{side}k_{i}", X.street_tokens(c)).withColumn(f"{side}n_{i}", X.house_number(c))
+        elif r.method == "ean":
+            out = out.withColumn(f"{side}v_{i}", X.ean_valid(c))
+    return out
+
+
+def field_score(i: int, r: Rule) -> Column:
     """Null where the two cells cannot be compared: a blank on a side, no number, no valid code."""
+    a, b, ta, tb = (F.col(f"{x}_{i}") for x in ("s", "t", "sk", "tk"))
     blank = (F.trim(F.coalesce(a, F.lit(""))) == "") | (F.trim(F.coalesce(b, F.lit(""))) == "")
-    ta, tb = X.canonical_tokens(a), X.canonical_tokens(b)
     one = lambda c: F.when(c, 1.0).otherwise(0.0)
     score = {
         "exact": lambda: one(a == b),
         "exact_ci": lambda: one(F.lower(a) == F.lower(b)),
-        "normalized": lambda: one(F.array_join(ta, " ") == F.array_join(tb, " ")),
-        "similarity": lambda: X.jaro_winkler(X.canonical_name(a), X.canonical_name(b)),
+        "normalized": lambda: one(ta == tb),
+        "similarity": lambda: X.jaro_winkler(F.array_join(ta, " "), F.array_join(tb, " ")),
         "token_set": lambda: F.when((F.size(ta) > 0) & (F.size(tb) > 0), X.jaccard(ta, tb)),
-        "address": lambda: X.address_score(a, b),
+        "address": lambda: X.street_score(ta, tb, F.col(f"sn_{i}"), F.col(f"tn_{i}")),
         "numeric": lambda: X.numeric_score(a, b, r.tolerance),
-        "ean": lambda: X.ean_score(a, b),
+        "ean": lambda: F.when(F.col(f"sv_{i}") & F.col(f"tv_{i}"), one(a == b)),
     }[r.method]()
     return F.when(~blank, score)
 
@@ -101,17 +115,28 @@ def match(
     if bad := [r.method for r in rules if r.method not in METHODS]:
         raise ValueError(f"unknown methods {bad}")
     auto = max(auto, review)
+    if max_pairs is not None and not any(r.method in BLOCKING for r in rules) and (n := source.count() * target.count()) > max_pairs:
+        raise ValueError(f"{n} pairs without blocking; the limit is {max_pairs}")
     s = source.select(F.col(resolve_column(source, source_key)).cast("string").alias("s"), *[F.col(resolve_column(source, r.source)).cast("string").alias(f"s_{i}") for i, r in enumerate(rules)])
     t = target.select(F.col(resolve_column(target, target_key)).cast("string").alias("t"), *[F.col(resolve_column(target, r.target)).cast("string").alias(f"t_{i}") for i, r in enumerate(rules)])
-    pairs = candidates(s, t, rules, max_pairs).join(s, "s").join(t, "t")
-    scored = pairs.select("s", "t", *[field_score(F.col(f"s_{i}"), F.col(f"t_{i}"), r).alias(f"f_{i}") for i, r in enumerate(rules)])
+    # Rows with equal cells are compared once: pairs are of distinct rows, and keys come back in after the ranking.
+    s_keys, t_keys = s.withColumnRenamed("s", "source_key"), t.withColumnRenamed("t", "target_key")
+    s_keys, t_keys = s_keys.withColumn("s", row_hash("s", rules)), t_keys.withColumn("t", row_hash("t", rules))
+    a = s_keys.drop("source_key").dropDuplicates(["s"])
+    b = t_keys.drop("target_key").dropDuplicates(["t"])
+    pairs = candidates(a, b, rules, None).join(prepare(a, "s", rules), "s").join(prepare(b, "t", rules), "t")
+    scored = pairs.select("s", "t", *[field_score(i, r).alias(f"f_{i}") for i, r in enumerate(rules)])
     kept = scored.select("s", "t", pair_score(rules).alias("score")).where(F.col("score") >= review)
-    best = Window.partitionBy("s").orderBy(F.desc("score"), "t")
-    return (
-        kept.withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= max_candidates)
-        .select(F.col("s").alias("source_key"), F.col("t").alias("target_key"), "score", F.when(F.col("score") >= auto, "auto").otherwise("review").alias("status"))
-    )
+    few = Window.partitionBy("t").orderBy("target_key")
+    first_keys = t_keys.select("t", "target_key").withColumn("n", F.row_number().over(few)).where(F.col("n") <= max_candidates).drop("n")
+    best = Window.partitionBy("s").orderBy(F.desc("score"), "target_key")
+    ranked = kept.join(first_keys, "t").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max_candidates)
+    return s_keys.select("s", "source_key").join(ranked, "s").select("source_key", "target_key", "score", F.when(F.col("score") >= auto, "auto").otherwise("review").alias("status"))
+
+
+def row_hash(side: str, rules: list[Rule]) -> Column:
+    """The identity of a row's compared cells."""
+    return F.sha2(F.to_json(F.struct(*[F.col(f"{side}_{i}") for i in range(len(rules))]), {"ignoreNullFields": "false"}), 256)
 
 
 def match_stats(source: DataFrame, source_key: str, matches: DataFrame) -> DataFrame:

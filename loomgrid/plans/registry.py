@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomgrid.plans import relational, spatial, workbench
+from loomgrid.plans import formats, relational, spatial, workbench
 
-MODULES = [relational, workbench, spatial]
+MODULES = [relational, workbench, spatial, formats]
 
 
 def queries() -> dict:
