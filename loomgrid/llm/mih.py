@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from loomgrid.llm.common import spill, table
 
 K = 10
-BLOCK = 65_536  # codes that one search task indexes
-SLICE = 2_048  # queries that one search task answers
+BLOCK = 262_144  # codes that one search task indexes; each query is sent to codes / BLOCK tasks
+SLICE = 65_536  # queries that one search task answers; each code is sent to queries / SLICE tasks
 QUERY_EVERY = 100
 
 

@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame, SparkSession
 from loomgrid.llm.bpe import codec, tokenizer_path
 from loomgrid.llm.common import table
 
-MAX_LEN = 1024
 TIERS = (256, 512, 1024)
 STEP_TOKENS = 32_768
 WINDOW_TOKENS = 1 << 19  # tokens that wait in a task before they are packed: bounds its memory

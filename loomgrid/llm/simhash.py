@@ -33,7 +33,6 @@ SEED = 42
 SHINGLE = 3
 MAX_BITS = 3
 SEGMENTS = 4
-SEARCH = 2048  # rows compared at a time inside a bucket
 SPREAD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93]  # odd multipliers that derive more words from one hash
 
 
