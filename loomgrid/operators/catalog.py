@@ -114,3 +114,24 @@ def schema_context(spark: SparkSession, question: str, max_tables: int = 8, samp
         rows = spark.table(name).limit(samples).collect()
         out.append({"table": name, "columns": [{"name": c, "samples": [r[c] for r in rows]} for c in cols]})
     return out
+
+
+def register_context_function(spark: SparkSession, max_tables: int = 8) -> None:
+    """agent_context() as a table function: (position, line) of the tables and columns in the catalog when it was registered."""
+    from pyspark.sql.functions import udtf
+
+    lines = []
+    for t in sorted(spark.catalog.listTables(), key=lambda t: t.name.lower())[:max_tables]:
+        lines.append(f"{t.name}({', '.join(f'{f.name} {f.dataType.simpleString()}' for f in spark.table(t.name).schema.fields)})")
+
+    @udtf(returnType="position int, line string")
+    class AgentContext:
+        def eval(self, max_chars: int):
+            left = max_chars
+            for i, line in enumerate(lines):
+                if left <= 0:
+                    return
+                yield i, line[:left]
+                left -= len(line)
+
+    spark.udtf.register("agent_context", AgentContext)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -54,3 +54,14 @@ def refresh(index: DataFrame, objects: DataFrame, model: str, embed: Callable[[l
     gone = own.join(now.select("name"), "name", "left_anti")
     report = same.agg(F.count("*").alias("unchanged")).crossJoin(todo.agg(F.count("*").alias("embedded"))).crossJoin(gone.agg(F.count("*").alias("removed")))
     return other.unionByName(same).unionByName(made), report
+
+
+def register_functions(spark: SparkSession) -> None:
+    """vec_from_json and vec_cosine_similarity for SQL text, defined in SQL so that Catalyst sees through them."""
+    norm = "sqrt(aggregate({0}, 0D, (s, x) -> s + x * x))"
+    product = "aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)"
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION vec_from_json(v STRING) RETURNS ARRAY<DOUBLE> RETURN from_json(v, 'array<double>')")
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION vec_cosine_similarity(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE "
+        f"RETURN {product} / nullif({norm.format('a')} * {norm.format('b')}, 0D)"
+    )

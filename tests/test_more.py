@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 
 from loomgrid.functions import trees
-from loomgrid.operators import charts, tiles
+from loomgrid.operators import catalog, charts, tiles, vectors
 from loomgrid.plans import history
 from loomgrid.sinks import writers as W
 from loomgrid.sources import demo, readers
@@ -61,3 +61,11 @@ def test_demo_and_names(spark):
     assert {n: demo.demo(spark, n).count() for n in ("people", "metrics", "payloads")} == {"people": 10, "metrics": 60, "payloads": 3}
     assert readers.format_of("/x/My File.TSV") == "tsv" and readers.table_name_of("/x/My File.tsv") == "my_file" and W.safe_name("a/b c") == "a_b_c"
     assert readers.jdbc_options("postgres://u:p@h:1/db") == {"url": "jdbc:postgresql://h:1/db", "user": "u", "password": "p"} and readers.masked("postgres://u:p@h") == "postgres://u:***@h"
+
+
+def test_sql_functions(spark):
+    vectors.register_functions(spark)
+    assert spark.sql("SELECT vec_cosine_similarity(vec_from_json('[1,0]'), array(1D, 1D)) AS s").first()["s"] == pytest.approx(0.70710678)
+    spark.range(1).createOrReplaceTempView("aaa_first")
+    catalog.register_context_function(spark)
+    assert spark.sql("SELECT line FROM agent_context(200) ORDER BY position").first()["line"] == "aaa_first(id bigint)"
