@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomgrid.plans import formats, relational, spatial, workbench
+from loomgrid.plans import formats, relational, spatial, upkeep, workbench
 
-MODULES = [relational, workbench, spatial, formats]
+MODULES = [relational, workbench, spatial, formats, upkeep]
 
 
 def queries() -> dict:

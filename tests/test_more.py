@@ -4,7 +4,7 @@ from datetime import datetime
 
 import pytest
 
-from loomgrid.functions import trees
+from loomgrid.functions import fixedwidth, trees
 from loomgrid.operators import catalog, charts, tiles, vectors
 from loomgrid.plans import history
 from loomgrid.sinks import writers as W
@@ -69,3 +69,13 @@ def test_sql_functions(spark):
     spark.range(1).createOrReplaceTempView("aaa_first")
     catalog.register_context_function(spark)
     assert spark.sql("SELECT line FROM agent_context(200) ORDER BY position").first()["line"] == "aaa_first(id bigint)"
+
+
+def test_fixed_width_lines(spark):
+    lines = spark.createDataFrame([(" 1  Grün   x",), ("22  a b",), ("",), (None,)], "value string")
+    spans = fixedwidth.field_spans(lines)
+    assert spans == [(1, 2), (5, 4), (12, 1)]
+    assert sorted(tuple(r) for r in fixedwidth.split_fields(lines, spans, ["n", "name", "mark"]).collect()) == [("1", "Grün", "x"), ("22", "a b", "")]
+    assert fixedwidth.field_spans(lines.where("value = ''")) == []
+    with pytest.raises(ValueError):
+        fixedwidth.split_fields(lines, spans, ["n"])
