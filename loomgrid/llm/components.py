@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Every step is a grouped minimum and a join, each round is written to the shared folder, and no task or driver ever
-holds a component. Rounds end when the edges no longer change (about log n rounds).
+Every step is a grouped minimum and a join on a node, read by its task as a stream; each round is written to the shared
+folder, and no task or driver ever holds a component. Rounds end when the edges no longer change (about log n rounds).
 """
 
 from __future__ import annotations
@@ -11,6 +11,23 @@ from pyspark.sql import functions as F
 
 from loomgrid.llm.common import drop, spill
 
+HOT_SHARE = 2_000  # a group of over 1 / HOT_SHARE of all rows is hot, so fewer than HOT_SHARE groups are broadcast
+HOT_LEAST = 1_000  # rows of a group that are never hot
+
+
+def with_least(rows: DataFrame, key: str, value: str, name: str, total: int) -> DataFrame:
+    """``rows`` plus ``name``, the least ``value`` of their ``key``'s rows; ``total`` bounds the number of rows.
+
+    Keys are not null; a group of null values only has a null least. The minimum is pre-aggregated in each task. It comes back to hot groups by a broadcast of fewer than HOT_SHARE rows, so
+    their rows stay where they are, and to the others by a join on the key.
+    """
+    got = rows.groupBy(key).agg(F.min(value).alias(name), F.count("*").alias("__k"))
+    hot = F.col("__k") > max(HOT_LEAST, total // HOT_SHARE)
+    marked = rows.join(F.broadcast(got.where(hot).select(key, name, F.lit(True).alias("__hot"))), key, "left")
+    near = marked.where("__hot").drop("__hot")
+    far = marked.where("__hot IS NULL").drop("__hot", name).join(got.where(~hot).select(key, name), key)
+    return near.unionByName(far)
+
 
 def _large(e: DataFrame) -> DataFrame:
     """Larger neighbours of u move to the least neighbour of u."""

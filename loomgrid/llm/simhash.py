@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.llm.common import parallelism, spill, table
-from loomgrid.llm.components import components
+from loomgrid.llm.components import components, with_least
 
 SEED = 42
 SHINGLE = 3
@@ -205,8 +205,7 @@ def op3_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = nodes.select("node", F.col("node").alias("f0"))
     comp = components(link(prints, 1, ring_keys, near_3))
     rooted = nodes.join(comp, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = rooted.join(least, "root").select(F.col("node").alias("f0"), "component_id")
+    of_print = with_least(rooted, "root", "least", "component_id", docs.count()).select(F.col("node").alias("f0"), "component_id")
     return docs.join(of_print, "f0").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 

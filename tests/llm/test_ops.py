@@ -317,3 +317,27 @@ def test_unreadable_types_do_not_matter(spark, tmp_path):
     pq.write_table(t, tmp_path / "documents.parquet")
     for name in ("op1_mpeg_audio", "op2_suffix_dedup", "op3_pigeonring_simhash", "op4_hierarchical_packing", "op5_tree_bpe", "op6_hierarchical_langid", "op8_rendezvous_sharding"):
         assert {r["doc_id"] for r in Q[name](spark, str(tmp_path)).collect()} == {1, 2}
+
+
+def test_components_with_hot_hubs(spark, monkeypatch):
+    """Groups over the hot limit and below it give the components of a plain search."""
+    from loomgrid.llm import components as C
+
+    monkeypatch.setattr(C, "HOT_LEAST", 3)
+    rng = np.random.RandomState(4)
+    edges = [(0, k) for k in range(1, 40)] + [(99, k) for k in range(60, 99)] + [(k, k + 1) for k in range(100, 130)] + [tuple(map(int, rng.randint(200, 400, 2))) for _ in range(90)] + [(5, 5)]
+    root = list(range(500))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = {r["node"]: r["root"] for r in C.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: find(x) for x in {e for a, b in edges if a != b for e in (a, b)}}
+    assert C.components(spark.createDataFrame([], "u long, v long")).count() == 0
+    rows = C.with_least(spark.createDataFrame([("a", None), ("a", None), ("b", 2), ("b", None), *[("c", k) for k in range(9)]], "k string, v long"), "k", "v", "m", 13)
+    assert sorted(set((r["k"], r["m"]) for r in rows.collect()), key=str) == [("a", None), ("b", 2), ("c", 0)] and rows.count() == 13
