@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Collection
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,5 +42,12 @@ def drop(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def sheltered(df: DataFrame, used: Collection[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with its columns, except the ``used`` ones, under names that no operator takes for itself, and the way back to
+    exactly the columns of ``df``."""
+    names, inner = df.columns, [c if c in used else f"__in_{i}" for i, c in enumerate(df.columns)]
+    return df.toDF(*inner), lambda out: out.select(*inner).toDF(*names)
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

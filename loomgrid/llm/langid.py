@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import table
+from loomgrid.llm.common import sheltered, table
 
 PER_LANG = 250  # labelled texts of each language in the training sample
 DIM = 1 << 14
@@ -182,8 +182,9 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: st
 
 def reject_unknown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents whose language can be told, all columns; a missing label is filled with the prediction."""
+    docs, back = sheltered(docs, (id_col, text_col, lang_col))
     got = predict(docs, fit(docs, id_col, text_col, lang_col), docs.columns, text_col)
-    return got.where(F.col("__lang_pred") != UND).withColumn(lang_col, F.coalesce(lang_col, "__lang_pred")).select(*docs.columns)
+    return back(got.where(F.col("__lang_pred") != UND).withColumn(lang_col, F.coalesce(lang_col, "__lang_pred")))
 
 
 def op6_hierarchical_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import parallelism, spill, table
+from loomgrid.llm.common import parallelism, sheltered, spill, table
 from loomgrid.llm.components import components, with_least
 
 SEED = 42
@@ -275,6 +275,7 @@ def row_id(id_col: str, text_col: str):
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of one document of each group of similar documents: the one with the least id (nulls last)."""
+    docs, back = sheltered(docs, (id_col, text_col))
     groups = similar_groups(docs, id_col, text_col)
     best = groups.groupBy("group").agg(F.min(F.struct(F.isnull("id").alias("no"), "id", "rid")).alias("b"))
     of_row = groups.groupBy("rid").agg(F.count("*").alias("n"))
@@ -282,4 +283,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.withColumn("__rid", row_id(id_col, text_col))
     single = rows.join(chosen.where("n = 1").select("__rid").hint("merge"), "__rid", "left_semi")
     repeated = rows.join(chosen.where("n > 1").select("__rid").hint("merge"), "__rid", "left_semi").dropDuplicates(["__rid"])
-    return single.unionByName(repeated).select(*docs.columns)
+    return back(single.unionByName(repeated))

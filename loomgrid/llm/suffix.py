@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import parallelism, shared_dir, spill, table
+from loomgrid.llm.common import parallelism, shared_dir, sheltered, spill, table
 
 LENGTH = 200
 GRAM = 32
@@ -459,6 +459,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without_repeats(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
     """The documents with repeated passages cut out of their texts; those of which nothing is left go."""
+    docs, back = sheltered(docs, (text_col, size_col))
     keyed, rest = clean_texts(docs, text_col, as_text=True)
     short = F.col("__n") < LENGTH
     rows = keyed.select(*docs.columns, "__n", "__tid").withColumn(text_col, F.when(short, F.col(text_col)))
@@ -466,7 +467,7 @@ def without_repeats(docs: DataFrame, text_col: str = "text", size_col: str | Non
     out = rows.join(cut, "__tid", "left").withColumn(text_col, F.when(short, F.col(text_col)).otherwise(F.col("__kept"))).where(short | (F.col(text_col) != ""))
     if size_col in docs.columns:
         out = out.withColumn(size_col, F.when(short, F.col(size_col)).otherwise(F.length(text_col)).cast(docs.schema[size_col].dataType))
-    return out.select(*docs.columns)
+    return back(out)
 
 
 def brute_force(texts: list[bytes], length: int = LENGTH) -> list[list[tuple[int, int]]]:

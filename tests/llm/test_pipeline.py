@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from loomgrid.llm import langid, simhash, suffix
 
 SF = "/root/testdata/sf0.01"
@@ -84,3 +85,17 @@ def test_run(spark, small):
 
 def test_empty(spark, empty):
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_stages_keep_columns_with_clashing_names(spark):
+    """Extra columns come through untouched, whatever their names, and change no decision."""
+    extra = "tid kept node group key f0 n rid id root u v start copies __n __tid __kept __rid __raw __score __lang_pred __text __in_0 a.b".split()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    wide = docs.select("*", *[F.lit("x").alias(c) for c in extra])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, got = stage(spark, docs, ""), stage(spark, wide, "")
+        assert got.columns == wide.columns, name
+        rows = [tuple(r) for r in got.collect()]
+        n = len(docs.columns)
+        assert {r[n:] for r in rows} == {("x",) * len(extra)}, name
+        assert sorted((r[:n] for r in rows), key=str) == sorted(map(tuple, plain.collect()), key=str), name
