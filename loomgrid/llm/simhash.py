@@ -17,7 +17,6 @@ empty results; extra columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -210,62 +209,180 @@ def op3_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- groups of similar documents (the pipeline's stage) -------------------------------------------------------------------
+#
+# Two documents are linked if the Jaccard similarity of their distinct five-word shingles is at least 4 / 5; nothing is estimated.
+# Of n shingles, any partner shares o = ceil(4n / 5) or more. In one order of all shingles (their hashes), the first n - o + k of
+# both hold at least k shared ones. So a document with fewer than k such shingles that occur elsewhere has no partner, and
+# the same rule, rarest first, gives the keys of those left. Sharing a key joins documents into candidate groups; inside
+# each, the exact similarity decides, in cells of bounded size.
 
 WORDS = 4
 STAGE_SHINGLE = 5
-SIMILARITY = 0.8
-BITS_OF_SIMILARITY = 44  # of 256: a pair with a Jaccard similarity of 0.8 differs in 39 bits on average, 5.7 more or less
-RECALL = 0.97  # chance that a pair at exactly SIMILARITY (39 bits) shares a key; 0.88 at the radius, 0.9997 at 30 bits
-LOAD_BITS = 4  # a bucket may hold 16 unrelated fingerprints before keys get longer
-LEAST_KEY_BITS = 20
-
-
-def key_plan(n: int, bits: int = 64 * WORDS) -> tuple[int, int]:
-    """Bits of a key, so that few unrelated fingerprints of n meet, and the number of keys for RECALL at SIMILARITY."""
-    width = int(np.clip(math.ceil(math.log2(max(n, 2))) - LOAD_BITS, LEAST_KEY_BITS, 40))
-    flip = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
-    return width, math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - flip) ** width))
-
-
-def chain_keys(width: int, n_keys: int) -> Callable[[np.ndarray], np.ndarray]:
-    """Keys of 256-bit fingerprints: chains of consecutive bits of rings, each ring being another fixed order of the bits."""
-    rng = np.random.RandomState(7)
-    orders = []
-    while sum(len(o) for o in orders) < n_keys:
-        ring = rng.permutation(64 * WORDS)
-        orders.append([ring[i * width : (i + 1) * width] for i in range(len(ring) // width)])
-    chains = [c for o in orders for c in o][:n_keys]
-
-    def keys(f: np.ndarray) -> np.ndarray:
-        bits = np.unpackbits(np.ascontiguousarray(f).view(np.uint8), axis=1, bitorder="little")
-        out = np.empty((len(f), n_keys), np.uint64)
-        weight = np.uint64(1) << np.arange(width, dtype=np.uint64)
-        for k, c in enumerate(chains):
-            out[:, k] = (bits[:, c].astype(np.uint64) * weight).sum(1, dtype=np.uint64) | np.uint64(k) << np.uint64(44)
-        return out
+BITS_OF_SIMILARITY = 44  # of 256: a pair of fingerprints with a Jaccard similarity of 0.8 differs in 39 bits on average; only tests look at it
+HOT_RUN = 1 << 20  # rows of one shingle that a task holds; a longer run is given out in parts, as equally frequent
+CELL_SHINGLES = 1 << 22  # shingles of one block of a candidate group; a task holds two blocks
+
+
+def least_shared(n: int) -> int:
+    """Shingles that a set of n has in common with any set of similarity 4 / 5 or more."""
+    return -(-4 * n // 5)
+
+
+def least_in_prefix(n: int) -> int:
+    return -(-n // 10)
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    return np.unique(shingle_hashes(text, STAGE_SHINGLE))
+
+
+def prefix(h: np.ndarray) -> np.ndarray:
+    """Shingles of a sorted set that hold ``least_in_prefix`` of those it shares with any similar set of its size."""
+    return h[: len(h) - least_shared(len(h)) + least_in_prefix(len(h))]
+
+
+def shingle_sets(df: DataFrame, text_col: str, keep: list[str], whole: bool) -> DataFrame:
+    """``keep`` columns plus node (a hash of the set), n and the set's prefix; or plus the whole set as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                b = batch.slice(a, 1024)
+                text = b.column(b.num_columns - 1)
+                sets = [shingle_set(text[i].as_py() or b"") for i in range(b.num_rows)]
+                if whole:
+                    more = [pa.array([h.tobytes() for h in sets], pa.binary())]
+                else:
+                    node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
+                    first = [prefix(h).view(np.int64) for h in sets]
+                    ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
+                    more = [pa.array(node), pa.array([len(h) for h in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first) if first else np.empty(0, np.int64)))]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *more], names)
+
+    rows = df.select(*keep, F.col(text_col).cast("binary").alias("__raw"))
+    names = [*rows.columns[:-1], *(["shingles"] if whole else ["node", "n", "first"])]
+    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, head + ("shingles binary" if whole else "node long, n long, first array<long>"))
+
+
+def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, key, times of the keys of more than one node; ``batches`` (key, node) are sorted."""
+    held, hot = np.empty((0, 2), np.int64), None
+
+    def emit(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rows = rows[np.append(True, (rows[1:] != rows[:-1]).any(1))] if len(rows) else rows
+        start = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0])) if len(rows) else np.empty(0, np.int64)
+        times = np.repeat(*[np.diff(np.append(start, len(rows)))] * 2)
+        if hot is not None:
+            times[rows[:, 0] == hot] = HOT_RUN
+        keep = times > 1
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(rows[keep, 1]), pa.array(rows[keep, 0]), pa.array(np.minimum(times[keep], HOT_RUN))], ["node", "key", "times"])
+
+    for b in batches:
+        if b.num_rows:
+            rows = np.concatenate([held, np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1)])
+            cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # the last key may go on
+            if len(rows) - cut > HOT_RUN and rows[cut, 1] != rows[-1, 1]:
+                yield from emit(rows[:cut])
+                hot, rows, cut = rows[-1, 0], rows[cut:], len(rows) - cut
+            elif len(rows) - cut > HOT_RUN:  # copies of one set so far
+                rows = np.concatenate([rows[:cut], rows[-1:]])
+            yield from emit(rows[:cut])
+            held = rows[cut:]
+    yield from emit(held)
+
+
+def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) from each node of a key to the least; ``batches`` (key, node) are sorted."""
+    key, least = None, None
+    for b in batches:
+        if b.num_rows:
+            k, v = b.column(0).to_numpy(), b.column(1).to_numpy()
+            new = np.append(k[0] != key, k[1:] != k[:-1])
+            at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
+            root = np.where(at < 0, least if least is not None else 0, v[at])
+            key, least = k[-1], root[-1]
+            out = root != v
+            if out.any():
+                yield pa.RecordBatch.from_arrays([pa.array(v[out]), pa.array(root[out])], ["u", "v"])
+
+
+def similar(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Edges (member, root) that connect all sets linked by similarity, directly or not; each search looks at sets not yet reached."""
+    size = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(size)
+    own = [token[e - n : e] for e, n in zip(ends.tolist(), size.tolist())]
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    open_ = np.ones(len(sets), bool)
+    left = listed = len(sets)
+    edges = []
+    for root in range(len(sets)):
+        if not open_[root]:
+            continue
+        open_[root], todo = False, [root]
+        left -= 1
+        while todo and left:
+            if left * 2 <= listed:
+                live = open_[owner]
+                token, owner, listed = token[live], owner[live], left
+            one = todo.pop()
+            a, b = np.searchsorted(token, own[one]), np.searchsorted(token, own[one], "right")
+            n = b - a
+            at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(sets))
+            hit = np.flatnonzero(open_ & (both > 0) & (9 * both >= 4 * (size + size[one])))
+            edges += [(int(x), root) for x in hit]
+            todo += hit.tolist()
+            open_[hit] = False
+            left -= len(hit)
+    return edges
+
 
-    return keys
+def cell_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) of similar sets of one cell; ``batches`` (root, lo, hi, node, shingles) are sorted."""
+    cell, nodes, sets = None, [], []
 
+    def emit() -> Iterator[pa.RecordBatch]:
+        e = similar(sets) if len(sets) > 1 else []
+        if e:
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[x] for x, _ in e], pa.int64()), pa.array([nodes[y] for _, y in e], pa.int64())], ["u", "v"])
 
-def near_similar(_: int, one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Budgets along the ring of four words first (l * t / m bits for l words from some start), then the full distance."""
-    d = np.bitwise_count(many ^ one).astype(np.int64)
-    total = d.sum(1)
-    viable = np.zeros(len(d), bool)
-    for start in range(WORDS):
-        ring = np.cumsum(np.roll(d, -start, axis=1), axis=1)
-        viable |= (ring * WORDS <= np.arange(1, WORDS + 1) * BITS_OF_SIMILARITY).all(1)
-    return np.flatnonzero(viable & (total <= BITS_OF_SIMILARITY))
+    for b in batches:
+        root, lo, hi, node = (b.column(i).to_pylist() for i in range(4))
+        for i in range(b.num_rows):
+            if (root[i], lo[i], hi[i]) != cell:
+                yield from emit()
+                cell, nodes, sets = (root[i], lo[i], hi[i]), [], []
+            if not nodes or nodes[-1] != node[i]:
+                nodes.append(node[i])
+                sets.append(np.frombuffer(b.column(4)[i].as_buffer(), np.uint64).copy())
+    yield from emit()
 
 
 def similar_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """rid, id, group: documents whose 5-word shingles are similar, linked by 256-bit fingerprints. ``rid`` is a hash of id and text."""
+    """rid, id, group: documents linked, directly or not, by a similarity of their 5-word shingles of 0.8 or more. ``rid`` is a hash of id and text."""
+    parts = parallelism(docs.sparkSession)
     rid = row_id(id_col, text_col)
-    prints = spill(fingerprints(docs.withColumn("__rid", rid), text_col, ["__rid", id_col], STAGE_SHINGLE, WORDS), "prints")
-    f = [f"f{i}" for i in range(WORDS)]
-    prints = prints.withColumn("node", F.xxhash64(*f))
-    nodes = spill(prints.select("node", *f).dropDuplicates(["node"]), "nodes")
-    comp = components(link(nodes, WORDS, chain_keys(*key_plan(nodes.count())), near_similar))
+    prints = spill(shingle_sets(docs.withColumn("__rid", rid), text_col, ["__rid", id_col], False), "sets")
+    rows = prints.select(F.explode("first").alias("key"), "node").repartition(parts, "key").sortWithinPartitions("key", "node")
+    common = rows.mapInArrow(shared_rows, "node long, key long, times long").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("times", "key"))).alias("s"))
+    nodes = prints.groupBy("node").agg(F.first("n").alias("n"), F.min("__rid").alias("__rid"))
+    need = F.ceil(F.ceil(F.col("n") * 4 / 5) / 10)
+    keys = common.join(nodes.select("node", "n"), "node").where(F.size("s") >= need).select("node", F.explode(F.expr("slice(s, 1, int(size(s) - ceil(ceil(n * 4 / 5) / 10) + 1))")).alias("e"))
+    dealt = keys.select(F.col("e.key").alias("key"), "node").repartition(parts, "key").sortWithinPartitions("key", "node")
+    cand = spill(components(dealt.mapInArrow(stars, "u long, v long")).join(nodes, "node"), "candidates")
+    blocks = cand.groupBy("root").agg(F.ceil(F.sum("n") / CELL_SHINGLES).cast("int").alias("b"))
+    asked = cand.join(blocks, "root").select("__rid", "node", "root", "b")
+    texts = docs.select(rid.alias("__rid"), F.col(text_col).alias("__text")).join(asked.hint("merge"), "__rid")
+    sets = shingle_sets(texts, "__text", ["root", "b", "node"], True)
+    own, other = F.pmod(F.col("node"), F.col("b")).cast("int"), F.col("o")
+    copies = sets.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("b") - 1))).select("root", F.least(own, other).alias("lo"), F.greatest(own, other).alias("hi"), "node", "shingles")
+    cells = copies.repartition(parts, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "node")
+    comp = components(cells.mapInArrow(cell_edges, "u long, v long"))
     return prints.join(comp, "node", "left").select(F.col("__rid").alias("rid"), F.col(id_col).alias("id"), F.coalesce("root", "node").alias("group"))
 
 
