@@ -64,8 +64,7 @@ def explode_multi(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tracks(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select("user_id", "ts", "event_id", (F.col("event_id") % 360 - 180).cast("double").alias("x"), (F.col("value") % 90).alias("y")).where("value IS NOT NULL")
-    return e.where("user_id < 200")
+    return table(spark, d, "events").select("user_id", "ts", "event_id", (F.col("event_id") % 360 - 180).cast("double").alias("x"), (F.col("value") % 90).alias("y")).where("value IS NOT NULL")
 
 
 def simplify_lines(spark: SparkSession, d: str) -> DataFrame:
