@@ -84,3 +84,13 @@ def test_prefix_rule():
     for n in range(1, 400):
         h = np.arange(n)
         assert len(simhash.prefix(h)) <= n and simhash.least_shared(n) >= 0.8 * n
+
+
+def test_one_repeated_line_does_not_link_different_documents(spark):
+    """The fingerprints of the two are within the old radius; their sets share next to nothing."""
+    rnd = random.Random(6)
+    line = say(rnd, 12)
+    texts = [" ".join(say(rnd, 300) + line * 60) for _ in range(2)]
+    f = np.array([simhash.fingerprint(t.encode(), 5, 4) for t in texts], np.uint64)
+    assert np.bitwise_count(f[0] ^ f[1]).sum() <= simhash.BITS_OF_SIMILARITY
+    assert stage(spark, texts) == [0, 1]
