@@ -288,27 +288,91 @@ def test_rendezvous_weights(spark):
     assert all(grown[r["id"]] == r["shard"] for r in brute)
 
 
-def test_op9_cases(spark):
-    rnd = np.random.RandomState(0)
-    codes = [int(x) for x in rnd.randint(-(2**63), 2**63 - 1, 300)] + [7] * 40
-    df = spark.createDataFrame(list(enumerate(codes)), "id long, code long")
+@pytest.mark.parametrize("dim", [64, 100, 128, 768])
+def test_op9_is_exact_in_any_dimension(spark, dim):
+    """Clusters, exact copies, repeated rows and clashing columns against brute force."""
+    rnd = np.random.RandomState(dim)
+    centres = rnd.randn(12, dim)
+    vec = [(centres[i % 12] + 0.4 * rnd.randn(dim)).tolist() for i in range(240)] + [centres[3].tolist()] * 40 + [[1.0] * dim, [-1.0] * dim]
+    schema = "i long, v array<double>, id int, code string, b int, rank int"
+    rows = [(i, v, 1, "x", 2, 3) for i, v in enumerate(vec)]
+    df = spark.createDataFrame([*rows, rows[5], rows[250]], schema)
+    codes = mih.sign_codes(df, "i", "v")
+    asked = codes.where("id % 40 = 0 OR id IN (250, 281)")
     got = defaultdict(list)
-    for r in mih.search(df, df.where("id % 50 = 0 OR id = 310"), k=5, block=64, slice_=3).orderBy("query_id", "rank").collect():
+    for r in mih.search(codes, asked, k=5, block=64, slice_=3).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["distance"], r["vec_id"]))
+    assert set(got) == {i for i in range(282) if i % 40 == 0 or i in (250, 281)}
+    on = [[x > 0 for x in v] for v in vec]
     for q, found in got.items():
-        d = sorted(((codes[q] ^ c) & (2**64 - 1)).bit_count() * 10_000 + i for i, c in enumerate(codes) if i != q)
-        assert found == [(x // 10_000, x % 10_000) for x in d[:5]]
-    v = spark.createDataFrame([(1, [1.0, -1.0]), (2, None), (3, []), (None, [1.0]), (4, [float("nan"), 2.0])], "i long, v array<double>")
-    assert {r["id"]: r["code"] for r in mih.sign_codes(v, "i", "v").collect()} == {1: 1, 3: 0, 4: 2}
-
-
-def test_op10_cases(spark):
-    rows = [(i, f"http://h/{i}", "body %d" % i) for i in range(70)] + [(None, None, None), (5, "http://h/5", "twice")]
-    a = spark.createDataFrame(rows, "page_id long, url string, html string")
-    b = spark.createDataFrame([(i, u, h if i != 33 else "bodY 33") for i, u, h in rows if i != 69], "page_id long, url string, html string")
-    bad = warc.audit(warc.leaves(a, 32), warc.leaves(b, 32), fanout=4).collect()
-    assert sorted(r["page_id"] for r in bad) == [33, 69] and [r["found_hash"] for r in bad if r["page_id"] == 69] == [None]
-    assert warc.audit(warc.leaves(a, 32), warc.leaves(a, 32), fanout=4).count() == 0
+        d = sorted((sum(x != y for x, y in zip(on[q], c)), i) for i, c in enumerate(on) if i != q)
+        assert found == d[:5]
+
+
+def test_op9_meets_few_codes_of_a_clustered_block():
+    rnd = np.random.RandomState(1)
+    centre = rnd.randint(0, 2**63, (200, 2)).astype(np.uint64)
+    codes = np.repeat(centre, 50, 0)
+    flip = rnd.randint(0, 128, (len(codes), 3))
+    for k in range(3):
+        codes[np.arange(len(codes)), flip[:, k] // 64] ^= np.uint64(1) << (flip[:, k] % 64).astype(np.uint64)
+    mi = mih.MultiIndex(np.arange(len(codes)), codes)
+    for q in range(0, len(codes), 100):
+        ids, dist = mi.top_k(q, codes[q], 5)
+        d = np.bitwise_count(codes ^ codes[q]).sum(1).astype(int)
+        assert list(zip(dist.tolist(), ids.tolist())) == sorted((int(x), i) for i, x in enumerate(d) if i != q)[:5]
+    assert mi.verified < 0.1 * len(codes) * (len(codes) // 100)
+
+
+def test_op9_codes(spark):
+    v = spark.createDataFrame([(1, [1.0, -1.0]), (2, None), (3, []), (None, [1.0]), (4, [float("nan"), 2.0, None]), (5, [0.0] * 69 + [1.0])], "i long, v array<double>")
+    got = {r["id"]: int.from_bytes(r["code"], "little") for r in mih.sign_codes(v, "i", "v").collect()}
+    assert got == {1: 1, 3: 0, 4: 2, 5: 1 << 69}
+
+
+def brute_audit(a, b):
+    """Rows of two replicas (id, url, html) that differ: (id, expected, found) hashes, by a multiset difference per id."""
+    def by_id(rows):
+        out = defaultdict(list)
+        for i, u, h in rows:
+            body = (h or "").encode()
+            head = f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{'' if i is None else i}>\r\nWARC-Target-URI: {u or ''}\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n"
+            out[i].append(sha(head.encode() + body + b"\r\n\r\n"))
+        return out
+    x, y, out = by_id(a), by_id(b), Counter()
+    for i in {*x, *y}:
+        p, q = Counter(x[i]) - Counter(y[i]), Counter(y[i]) - Counter(x[i])
+        p, q = sorted(p.elements()), sorted(q.elements())
+        for k in range(max(len(p), len(q))):
+            out[i, p[k] if k < len(p) else None, q[k] if k < len(q) else None] += 1
+    return out
+
+
+def run_audit(spark, a, b, **kw):
+    schema = "page_id long, url string, html string, hash int, part string, n int"
+    df = lambda rows: spark.createDataFrame([(*r, 1, "x", 2) for r in rows], schema)
+    rows = warc.audit(warc.leaves(df(a), 32), warc.leaves(df(b), 32), records_per_file=32, **kw).collect()
+    return rows, Counter((r["page_id"], r["expected_hash"], r["found_hash"]) for r in rows)
+
+
+def test_op10_reports_exactly_the_edited_records(spark):
+    rnd = random.Random(8)
+    base = [(i, f"http://h/{i}", "body %d" % i) for i in range(130)] + [(None, None, None), (None, "u", None), (None, None, None), (5, "http://h/5", "twice"), (5, "http://h/5", "thrice"), (5, "http://h/5", "twice"), (-3, "n", "x")]
+    for _ in range(2):
+        b = [r for r in base if rnd.random() > 0.04]
+        b = [(i, u, h + "!" if h and rnd.random() < 0.05 else h) for i, u, h in b]
+        b += [(rnd.choice([40, 200, 5, None]), "new", "x%d" % k) for k in range(3)] + [rnd.choice(base)]
+        j, k = rnd.sample(range(40, 100), 2)
+        ids = {j: k, k: j}
+        b = [(ids.get(i, i), u, h) for i, u, h in b]  # two records swapped
+        rnd.shuffle(b)
+        assert run_audit(spark, base, b, fanout=4)[1] == brute_audit(base, b)
+    rows, got = run_audit(spark, base, [r for r in base if r[0] != 40], fanout=4)
+    assert [(r["page_id"], r["found_hash"]) for r in rows] == [(40, None)]
+    size = lambda i: len(f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{i}>\r\nWARC-Target-URI: http://h/{i}\r\nContent-Type: text/html\r\nContent-Length: {len('body %d' % i)}\r\n\r\n" + "body %d" % i) + 4
+    assert (rows[0]["file_id"], rows[0]["offset"], rows[0]["length"]) == (1, sum(size(i) for i in range(32, 40)), size(40))
+    assert not run_audit(spark, base, base)[0]
+    assert len(run_audit(spark, base, [])[0]) == len(base) and len(run_audit(spark, [], base, fanout=2)[0]) == len(base)
 
 
 def test_unreadable_types_do_not_matter(spark, tmp_path):
