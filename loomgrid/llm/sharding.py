@@ -3,8 +3,12 @@
 Each record key draws one uniform number per shard from XXH64(key, shard); the shard with the least ``-ln(u) / weight``
 wins. A new shard changes nothing between the old ones, so a grown set of shards takes rows only into the new one.
 
+A key is hashed as a string, so its shard does not depend on the width of its type.
+
 Cases: a null key is a key like any other (all null keys share a shard); a null text has size 16 and the CRC of no bytes;
-repeated rows get different slots of the same shard; an empty table gives an empty result; extra columns are ignored.
+repeated rows get different slots of the same shard, numbered in buckets that follow from the part of the input they are
+read from, so rows that repeat without end are not numbered in one task; an empty table gives an empty result; extra
+columns are ignored by the query, and kept by ``assign`` and ``slots`` whatever their names, except those they add.
 """
 
 from __future__ import annotations
@@ -19,8 +23,8 @@ SLOT_BUCKETS = 256  # slots are counted within so many buckets of each shard; th
 
 
 def draw(key: Column, shard: Column) -> Column:
-    """-ln(u) for a uniform u in (0, 1) that the key and the shard number decide."""
-    bits = F.shiftrightunsigned(F.xxhash64(key, shard.cast("int")), 11)
+    """-ln(u) for a uniform u in (0, 1) that the key, as a string, and the shard number decide."""
+    bits = F.shiftrightunsigned(F.xxhash64(key.cast("string"), shard.cast("int")), 11)
     return -F.log((bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 53)))
 
 
@@ -49,11 +53,12 @@ def assign(df: DataFrame, key: str, weights: list[float], new_weight: float | No
 
 
 def slots(df: DataFrame, order: list[str], buckets: int = SLOT_BUCKETS) -> DataFrame:
-    """Adds ``slot``, gapless from 0 in each shard, without gathering a shard in one task.
+    """Adds ``slot``, gapless from 0 in each shard, without gathering a shard, or the rows of one key, in one task.
 
     Rows are numbered within (shard, bucket); a bucket starts where the counts of the earlier buckets of its shard end.
+    The bucket follows from the row's task and place in it, and is written down before it is used.
     """
-    rows = spill(df.withColumn("__bucket", F.pmod(F.xxhash64(*order, F.lit("slot")), F.lit(buckets)).cast("int")), "slots")
+    rows = spill(df.withColumn("__bucket", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)).cast("int")), "slots")
     counts = rows.groupBy("shard", "__bucket").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from loomgrid.llm import bpe, langid, media, mih, packing, queries, sharding, simhash, suffix, urlfilter, warc
 from loomgrid.llm.components import components
@@ -259,10 +260,46 @@ def test_op6_accuracy(spark):
 
 def test_op7_cases(spark):
     d = lambda s: __import__("datetime").date.fromisoformat(s)
-    e = spark.createDataFrame([("x.com", d("2024-01-01"), "add", "a"), ("x.com", d("2024-02-01"), "remove", None), ("x.com", d("2024-02-01"), "add", "b"), ("b.x.com", d("2024-01-10"), "add", "c"), (None, None, "add", "z")], "pattern string, listed_on date, action string, category string")
-    c = spark.createDataFrame([(1, "http://x.com/a", d("2024-01-31"), 0), (2, "http://a.b.x.com:80", d("2024-01-10"), 0), (3, "http://u@x.com", d("2024-02-01"), 0), (4, None, d("2024-01-05"), 0), (5, "http://x.com", None, 0), (6, "http://b.x.com", d("2024-01-09"), 0)], "id int, url string, fetched_on date, blocked int")
+    said = [("x.com", "2024-01-01", "add", "a"), ("x.com", "2024-02-01", "remove", None), ("x.com", "2024-02-01", "add", "b"), ("b.x.com.", "2024-01-10", "add", "c"), ("[::1]", "2024-01-01", "add", "v6"), ("3.4", "2024-01-01", "add", "no")]
+    e = spark.createDataFrame([(p, d(t), a, c) for p, t, a, c in said] + [(None, None, "add", "z")], "pattern string, listed_on date, action string, category string")
+    c = spark.createDataFrame([(1, "http://x.com/a", d("2024-01-31"), 0), (2, "http://a.b.x.com:80", d("2024-01-10"), 0), (3, "http://u@x.com", d("2024-02-01"), 0), (4, None, d("2024-01-05"), 0), (5, "http://x.com", None, 0), (6, "http://b.x.com./", d("2024-01-09"), 0), (7, "http://[::1]:80/", d("2024-01-09"), 0), (8, "http://1.2.3.4/", d("2024-01-09"), 0)], "id int, url string, fetched_on date, blocked int")
     got = {r["id"]: (r["blocked"], r["category"]) for r in urlfilter.temporal_list_join(c, e, ["id"]).collect()}
-    assert got == {1: (True, "a"), 2: (True, "c"), 3: (False, None), 4: (False, None), 5: (False, None), 6: (True, "a")}
+    assert got == {1: (True, "a"), 2: (True, "c"), 3: (False, None), 4: (False, None), 5: (False, None), 6: (True, "a"), 7: (True, "v6"), 8: (False, None)}
+    every = spark.createDataFrame([(1, "http://x.com/a", d("2024-01-31"), "h", "c")] * 3, "id int, url string, fetched_on date, host string, `a.b` string")
+    rows = urlfilter.temporal_list_join(every, e, ["id", "host", "fetched_on", "a.b"]).collect()
+    assert len(rows) == 3 and rows[0]["kept_host"] == "h" and rows[0]["host"] == "x.com" and rows[0]["a.b"] == "c" and rows[0]["kept_fetched_on"] == d("2024-01-31")
+
+
+def test_op7_lists_and_categories_are_independent(spark):
+    """Random lists against a replay of their events."""
+    import datetime
+
+    rnd = random.Random(7)
+    day = lambda n: datetime.date(2024, 1, 1) + datetime.timedelta(n)
+    pats = ["x.com", "a.x.com", "b.a.x.com", "y.org"]
+    events = [(rnd.choice(["l1", "l2", None]), rnd.choice(pats), day(rnd.randrange(40)), rnd.choice(["add", "add", "remove"]), rnd.choice(["p", "q", None])) for _ in range(60)]
+    e = spark.createDataFrame(events, "list string, pattern string, listed_on date, action string, category string")
+    asks = [(i, f"https://{rnd.choice(['c.b.a.x.com', 'a.x.com', 'x.com', 'z.y.org', 'q.net'])}/p", day(rnd.randrange(45))) for i in range(200)]
+    got = {r["id"]: r for r in urlfilter.temporal_list_join(spark.createDataFrame(asks, "id int, url string, fetched_on date"), e, ["id"]).collect()}
+
+    def active(pattern, on):
+        out = {}
+        for n, p, t, a, c in sorted((x for x in events if x[1] == pattern and x[2] <= on), key=lambda x: (x[2], x[3] == "remove")):
+            if a == "add":
+                out[n, c] = t
+            else:
+                out = {k: v for k, v in out.items() if not (k[0] == n and c in (None, k[1]))}
+        return out
+
+    for i, url, on in asks:
+        host = url.split("/")[2]
+        covering = [p for p in pats if (host == p or host.endswith("." + p)) and active(p, on)]
+        r = got[i]
+        assert r["blocked"] == bool(covering)
+        if covering:
+            p = max(covering, key=len)
+            now = active(p, on)
+            assert r["pattern"] == p and r["categories"] == sorted({c for _, c in now if c}) and r["valid_from"] == max(now.values())
 
 
 def test_op8(spark, small, docs):
@@ -277,6 +314,34 @@ def test_op8(spark, small, docs):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def spark_hash(key, shard):
+    """XXH64 of a string and an int column the way Spark chains them, by the xxhash library."""
+    seed = 42 if key is None else xxhash.xxh64_intdigest(key.encode(), 42)
+    return xxhash.xxh64_intdigest(shard.to_bytes(4, "little", signed=True), seed)
+
+
+@pytest.mark.parametrize("kind", ["int", "long", "string"])
+def test_rendezvous_winners_recomputed(spark, kind):
+    """The winning shard from the definition, for keys of any type, equal and unequal weights."""
+    import math
+
+    keys = [None, 0, 1, -5, 77, 123456789, *range(1000, 1060)]
+    for weights in ([1.0] * 40, [0.5, 3.0, 1.0, 2.25]):
+        df = spark.createDataFrame([(k,) for k in keys], "k int").select(F.col("k").cast(kind).alias("k"), F.lit("x").alias("score"), F.lit(1).alias("key"))
+        got = {r["k"]: (r["shard"], r["grown_shard"]) for r in sharding.assign(df, "k", weights, 1.5).collect()}
+        for k in keys:
+            name = None if k is None else str(k)
+            score = [-math.log(((spark_hash(name, j) >> 11) + 0.5) / 2**53) / w for j, w in enumerate([*weights, 1.5])]
+            old = min(range(len(weights)), key=lambda j: score[j])
+            new = len(weights) if score[-1] < score[old] else old
+            assert got[name if kind == "string" else k] == (old, new)
+
+
+def test_slots_of_one_repeated_row(spark):
+    rows = sharding.slots(sharding.assign(spark.range(3000).select(F.lit(7).alias("id")), "id", [1.0, 1.0]), ["id"], 8).collect()
+    assert sorted(r["slot"] for r in rows) == list(range(3000))
+
+
 def test_rendezvous_weights(spark):
     df = sharding.assign(spark.range(20_000), "id", [1.0, 2.0, 1.0], 1.0)
     n = {r["shard"]: r["count"] for r in df.groupBy("shard").count().collect()}
