@@ -3,9 +3,10 @@
 A fingerprint bit is set if it is set in over half of the XXH64 values of a text's word shingles. If two fingerprints
 of m ring segments differ in at most t bits, some segment starts a chain of consecutive segments whose cumulative
 differences stay within l * t / m for every length l. For 64 bits, 4 segments and t = 3 the chain starts with an equal
-segment, then at most 1 differing bit in two segments, at most 2 in three. ``ring_keys`` puts the first two conditions into
-a key of 28 bits (an equal segment, and three equal quarters of the next), so candidates meet only if they can start a
-chain; the chain is then checked in full before the Hamming distance.
+segment, then at most 1 differing bit in two segments, at most 2 in three. ``ring_keys`` puts the first condition and part
+of the second into a key of 28 bits (an equal segment, and three equal quarters of the next), so candidates meet only if
+they can start a chain; inside a bucket the chain is followed segment by segment, a candidate is out as soon as a length
+exceeds its budget, and only what is left after three segments gets the full Hamming check.
 
 Buckets are searched for a spanning forest, not for all pairs: a search from each fingerprint looks only at those not yet
 reached, so a dense group of near copies costs one pass. Components of all buckets are then joined.
@@ -17,7 +18,9 @@ empty results; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import parallelism, sheltered, spill, table
+from loomgrid.llm.common import drop, parallelism, sheltered, spill, table
 from loomgrid.llm.components import components, with_least
 
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 3
 SEGMENTS = 4
-SPREAD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93]  # odd multipliers that derive more words from one hash
 
 
 def shingle_hashes(text: bytes, k: int, seed: int = SEED) -> np.ndarray:
@@ -61,32 +63,23 @@ def majority(h: np.ndarray) -> int:
     return int(np.packbits(count * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def remix(h: np.ndarray, i: int) -> np.ndarray:
-    """Another word from each hash; the first is the hash itself."""
-    if i == 0:
-        return h
-    x = (h ^ h >> np.uint64(31)) * np.uint64(SPREAD[(i - 1) % 3])
-    return x ^ x >> np.uint64(29)
-
+def fingerprint(text: bytes, k: int = SHINGLE) -> int:
+    return majority(shingle_hashes(text, k))
 
-def fingerprint(text: bytes, k: int = SHINGLE, words: int = 1) -> list[int]:
-    h = shingle_hashes(text, k)
-    return [majority(remix(h, i)) for i in range(words)]
 
-
-def fingerprints(df: DataFrame, text_col: str, keep: list[str], k: int = SHINGLE, words: int = 1) -> DataFrame:
-    """``keep`` columns plus f0 .. f{words-1}, the fingerprint as signed longs."""
+def fingerprints(df: DataFrame, text_col: str, keep: list[str], k: int = SHINGLE) -> DataFrame:
+    """``keep`` columns plus f0, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = b.column(b.num_columns - 1)
-            f = np.array([fingerprint(text[i].as_py() or b"", k, words) for i in range(b.num_rows)], np.uint64).reshape(-1, words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(f[:, i]) for i in range(words))], names)
+            f = np.array([fingerprint(text[i].as_py() or b"", k) for i in range(b.num_rows)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(f)], names)
 
     rows = df.select(*keep, F.col(text_col).cast("binary").alias("__raw"))
-    names = [*rows.columns[:-1], *(f"f{i}" for i in range(words))]
+    names = [*rows.columns[:-1], "f0"]
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, head + ", ".join(f"f{i} long" for i in range(words)))
+    return rows.mapInArrow(run, head + "f0 long")
 
 
 def ring_keys(f: np.ndarray) -> np.ndarray:
@@ -100,24 +93,26 @@ def ring_keys(f: np.ndarray) -> np.ndarray:
     return np.stack(keys, 1)
 
 
-def chain_ok(x: np.ndarray, start: int) -> np.ndarray:
-    """Whether XORs (one word each) keep the chain's budgets from segment ``start`` on: l * MAX_BITS / SEGMENTS bits for l segments."""
-    ok, total = np.ones(len(x), bool), np.zeros(len(x), np.int64)
-    for n in range(1, SEGMENTS + 1):
-        seg = (x >> np.uint64(16 * ((start + n - 1) % SEGMENTS))) & np.uint64(0xFFFF)
-        total += np.bitwise_count(seg)
-        ok &= total * SEGMENTS <= n * MAX_BITS
-    return ok
+def near(x: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which XORs of two fingerprints have at most MAX_BITS bits and a chain from segment ``start`` on within its budgets.
+
+    The chain grows by one segment at a time over those still in it; the full Hamming distance comes last, for the rest.
+    """
+    left, total = np.arange(len(x)), np.zeros(len(x), np.int64)
+    for n in range(1, SEGMENTS):
+        shift = (16 * ((start[left] + (n - 1)) % SEGMENTS)).astype(np.uint64)
+        total = total + np.bitwise_count((x[left] >> shift) & np.uint64(0xFFFF))
+        ok = total * SEGMENTS <= n * MAX_BITS
+        left, total = left[ok], total[ok]
+    return left[np.bitwise_count(x[left]) <= MAX_BITS]
 
 
-def near_3(key: int, one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Linked pairs in a bucket of ``ring_keys``: the chain first, then the full distance of what is left."""
-    x = many[:, 0] ^ one[0]
-    got = np.flatnonzero(chain_ok(x, (key >> 32) // 4))
-    return got[np.bitwise_count(x[got]) <= MAX_BITS]
+def starts_of(keys: np.ndarray) -> np.ndarray:
+    """The segment at which the chains of a key of ``ring_keys`` start."""
+    return (keys >> 32) // 4
 
 
-def forest(key: int, f: np.ndarray, near: Callable) -> list[tuple[int, int]]:
+def forest(start: int, f: np.ndarray) -> list[tuple[int, int]]:
     """Edges (member, root) that connect what is linked, directly or not, inside one bucket."""
     open_ = np.arange(len(f))
     edges = []
@@ -125,7 +120,7 @@ def forest(key: int, f: np.ndarray, near: Callable) -> list[tuple[int, int]]:
         root, open_ = open_[0], open_[1:]
         todo = [root]
         while todo and len(open_):
-            hit = near(key, f[todo.pop()], f[open_])
+            hit = near(f[open_] ^ f[todo.pop()], np.full(len(open_), start))
             if len(hit):
                 reached = open_[hit]
                 edges += [(int(r), int(root)) for r in reached]
@@ -134,66 +129,61 @@ def forest(key: int, f: np.ndarray, near: Callable) -> list[tuple[int, int]]:
     return edges
 
 
-def link(prints: DataFrame, words: int, keys_of: Callable[[np.ndarray], np.ndarray], near: Callable) -> DataFrame:
-    """Edges (u, v) between node ids of ``prints`` (node long, f0.. long) that share a key and are near.
+def bucket_edges(keys: np.ndarray, node: np.ndarray, f: np.ndarray) -> list[tuple[int, int]]:
+    """Edges between nodes of whole buckets; ``keys`` is sorted."""
+    out = []
+    size = np.diff(np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys)))
+    start = np.cumsum(size) - size
+    sizes, times = np.unique(size, return_counts=True)
+    at_once = {n for n, t in zip(sizes.tolist(), times.tolist()) if 1 < n <= 4 or n <= 24 and t > 64}
+    for n in at_once - {1}:  # the many small buckets, all at once
+        first = start[size == n]
+        for i in range(n):
+            for j in range(i):
+                p, q = first + i, first + j
+                k = near(f[p] ^ f[q], starts_of(keys[p]))
+                out += zip(node[p[k]].tolist(), node[q[k]].tolist())
+    for a, n in zip(start.tolist(), size.tolist()):
+        if n > 4 and n not in at_once:
+            out += [(int(node[a + x]), int(node[a + y])) for x, y in forest(int(starts_of(keys[a])), f[a : a + n])]
+    return out
+
+
+def link(prints: DataFrame) -> DataFrame:
+    """Edges (u, v) between node ids of ``prints`` (node long, f0 long) that share a key and are near.
 
     Rows are dealt by key and sorted, and a task reads them as a stream: it holds one bucket at a time.
     """
-    cols = [f"f{i}" for i in range(words)]
-    spark = prints.sparkSession
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a in range(0, b.num_rows, 4096):
                 part = b.slice(a, 4096)
-                f = np.stack([part.column(i + 1).to_numpy() for i in range(words)], 1).view(np.uint64)
-                keys = keys_of(f)
+                keys = ring_keys(part.column(1).to_numpy().view(np.uint64))
                 n = keys.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *(pa.array(np.repeat(part.column(i).to_numpy(), n)) for i in range(words + 1))], ["key", "node", *cols])
-
-    def bucket_edges(keys: np.ndarray, node: np.ndarray, f: np.ndarray) -> list[tuple[int, int]]:
-        """Edges of whole buckets; ``keys`` is sorted."""
-        out = []
-        size = np.diff(np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys)))
-        start = np.cumsum(size) - size
-        sizes, times = np.unique(size, return_counts=True)
-        at_once = {n for n, t in zip(sizes.tolist(), times.tolist()) if 1 < n <= 4 or n <= 24 and t > 64}
-        for n in at_once - {1}:  # the many small buckets, all at once
-            first = start[size == n]
-            for i in range(n):
-                for j in range(i):
-                    for a in range(0, len(first), 1 << 16):
-                        p, q = first[a : a + (1 << 16)] + i, first[a : a + (1 << 16)] + j
-                        d = sum(np.bitwise_count(f[p, w] ^ f[q, w]).astype(np.int64) for w in range(words))
-                        for k in np.flatnonzero(d <= 64 * words // 4).tolist():  # a first look; near() decides
-                            if len(near(int(keys[p[k]]), f[p[k]], f[q[k]][None, :])):
-                                out.append((int(node[p[k]]), int(node[q[k]])))
-        single = [(a, n) for a, n in zip(start[size > 4].tolist(), size[size > 4].tolist()) if n not in at_once]
-        for a, n in single:
-            out += [(int(node[a + x]), int(node[a + y])) for x, y in forest(int(keys[a]), f[a : a + n], near)]
-        return out
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *(pa.array(np.repeat(part.column(i).to_numpy(), n)) for i in (0, 1))], ["key", "node", "f0"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[np.ndarray] = []  # rows of the last bucket so far, which may go on
         for b in batches:
-            rows = np.stack([b.column(i).to_numpy() for i in range(words + 2)], 1)
+            rows = np.stack([b.column(i).to_numpy() for i in range(3)], 1)
             if not len(rows):
                 continue
-            rows = np.concatenate([*held, rows])
-            cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # the last bucket may go on
-            held = [rows[cut:]]
-            yield from emit(rows[:cut])
+            cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+            if cut or held and held[-1][-1, 0] != rows[0, 0]:
+                yield from emit(np.concatenate([*held, rows[:cut]]))
+                held = []
+            held.append(rows[cut:])
         if held:
-            yield from emit(held[0])
+            yield from emit(np.concatenate(held))
 
     def emit(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(rows) > 1:
-            e = bucket_edges(rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2:]).view(np.uint64))
+            e = bucket_edges(rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2]).view(np.uint64))
             if e:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in e], pa.int64()), pa.array([x[1] for x in e], pa.int64())], ["u", "v"])
 
-    kinds = ", ".join(f"{c} long" for c in cols)
-    dealt = prints.select("node", *cols).mapInArrow(spread, f"key long, node long, {kinds}").repartition(parallelism(spark), "key").sortWithinPartitions("key")
+    dealt = prints.select("node", "f0").mapInArrow(spread, "key long, node long, f0 long").repartition(parallelism(prints.sparkSession), "key").sortWithinPartitions("key")
     return dealt.mapInArrow(search, "u long, v long")
 
 
@@ -202,7 +192,7 @@ def op3_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spill(fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", ["doc_id"]), "prints")
     nodes = docs.groupBy(F.col("f0").alias("node")).agg(F.min("doc_id").alias("least"))
     prints = nodes.select("node", F.col("node").alias("f0"))
-    comp = components(link(prints, 1, ring_keys, near_3))
+    comp = components(link(prints))
     rooted = nodes.join(comp, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     of_print = with_least(rooted, "root", "least", "component_id", docs.count()).select(F.col("node").alias("f0"), "component_id")
     return docs.join(of_print, "f0").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
@@ -210,16 +200,26 @@ def op3_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- groups of similar documents (the pipeline's stage) -------------------------------------------------------------------
 #
-# Two documents are linked if the Jaccard similarity of their distinct five-word shingles is at least 4 / 5; nothing is estimated.
-# Of n shingles, any partner shares o = ceil(4n / 5) or more. In one order of all shingles (their hashes), the first n - o + k of
-# both hold at least k shared ones. So a document with fewer than k such shingles that occur elsewhere has no partner, and
-# the same rule, rarest first, gives the keys of those left. Sharing a key joins documents into candidate groups; inside
-# each, the exact similarity decides, in cells of bounded size.
+# Two documents are linked if the Jaccard similarity of their distinct five-word shingles is at least 4 / 5; nothing is
+# estimated. A radius of fingerprint bits that holds all such pairs would hold most others too, so the ring is laid over
+# the shingle sets themselves, whose difference is exact.
+#
+# Screening: of n shingles, any partner shares o = ceil(4n / 5) or more. In one order of all shingles (their hashes), the
+# first n - o + k of both hold at least k shared ones. So a document with fewer than k such shingles that occur in another
+# document has no partner.
+#
+# Pigeonring: sets of s and at most s shingles that are similar differ in at most d = 2s / 9 of them. Hashing deals
+# shingles over a ring of m = d + 1 segments, so some segment starts a chain in which every first l segments
+# differ in at most l * d / m, that is l - 1, shingles: the first is equal, two differ in at most one, and so on.
+# ``chain_keys`` follows every chain until it has CHAIN_LEAST shingles in common, and leaves out, in every way the budgets
+# allow, shingles that a partner may lack; what is left is a key. Similar documents share a key, and those that share
+# one passage hardly ever do, since a key says that its segments hold nothing else.
+#
+# Sharing a key joins documents into candidate groups; inside each, the exact similarity decides, in cells of bounded size.
 
-WORDS = 4
 STAGE_SHINGLE = 5
-BITS_OF_SIMILARITY = 44  # of 256: a pair of fingerprints with a Jaccard similarity of 0.8 differs in 39 bits on average; only tests look at it
-HOT_RUN = 1 << 20  # rows of one shingle that a task holds; a longer run is given out in parts, as equally frequent
+CHAIN_LEAST = 3  # shingles in common that end a chain
+SHINGLE_MIX, SEGMENT_MIX, PLACE_MIX = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))  # odd multipliers
 CELL_SHINGLES = 1 << 22  # shingles of one block of a candidate group; a task holds two blocks
 
 
@@ -241,6 +241,66 @@ def prefix(h: np.ndarray) -> np.ndarray:
     return h[: len(h) - least_shared(len(h)) + least_in_prefix(len(h))]
 
 
+def size_class(n: int) -> int:
+    """Sizes of one class differ by a factor of less than 5 / 4; ``class_end`` is the first size beyond."""
+    j = 0
+    while class_end(j) <= n:
+        j += 1
+    return j
+
+
+@lru_cache(None)
+def class_end(j: int) -> int:
+    return 2 if j == 0 else max(class_end(j - 1) + 1, -(-5 * class_end(j - 1) // 4))
+
+
+def mixed(x: np.ndarray, by: np.uint64) -> np.ndarray:
+    x = (x ^ x >> np.uint64(31)) * by
+    return x ^ x >> np.uint64(29)
+
+
+def chain_keys(h: np.ndarray) -> np.ndarray:
+    """Keys of a set of shingle hashes, one of which it shares with every set of similarity 4 / 5 or more."""
+    n = len(h)
+    if not n:
+        return np.empty(0, np.uint64)
+    value = mixed(h, SHINGLE_MIX)
+    out = []
+    for j in range(size_class(n), size_class(5 * n // 4) + 1):  # the classes of the larger set of a pair
+        m = 2 * (class_end(j) - 1) // 9 + 1
+        seg = ((mixed(h, SEGMENT_MIX) >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(seg, kind="stable")
+        size = np.bincount(seg, minlength=m)
+        end = np.cumsum(size)
+        held = value[order]
+        running = np.append(np.uint64(0), np.cumsum(held, dtype=np.uint64))
+        sums = running[end] - running[end - size]
+        full = np.flatnonzero((size >= CHAIN_LEAST) | (m == 1))
+        at, total = [full], [sums[full]]
+        more_at: list[int] = []
+        more: list[int] = []
+        for i in np.flatnonzero(size < CHAIN_LEAST).tolist() if m > 1 else ():
+            grow(i, 1, int(size[i]), int(sums[i]), 0, m, held, end, size, more)
+            more_at += [i] * (len(more) - len(more_at))
+        at.append(np.array(more_at, np.int64))
+        total.append(np.array([x & 0xFFFFFFFFFFFFFFFF for x in more], np.uint64))
+        out.append(mixed(np.concatenate(total) + mixed(np.concatenate(at).astype(np.uint64) + np.uint64(j << 40), PLACE_MIX), SHINGLE_MIX))
+    return np.unique(np.concatenate(out))
+
+
+def grow(i: int, length: int, common: int, total: int, dropped: int, m: int, held: np.ndarray, end: np.ndarray, size: np.ndarray, out: list[int]) -> None:
+    """Follows the chain from segment ``i``, of which ``length`` segments are taken; sums of what it keeps go to ``out``."""
+    if common >= CHAIN_LEAST or length == m:
+        out.append(total)
+        return
+    k = (i + length) % m
+    own = held[end[k] - size[k] : end[k]].tolist()
+    whole = sum(own)
+    for less in range(min(len(own), length - dropped) + 1):  # length + 1 segments may differ in ``length`` shingles
+        for gone in combinations(own, less):
+            grow(i, length + 1, common + len(own) - less, total + whole - sum(gone), dropped + less, m, held, end, size, out)
+
+
 def shingle_sets(df: DataFrame, text_col: str, keep: list[str], whole: bool) -> DataFrame:
     """``keep`` columns plus node (a hash of the set), n and the set's prefix; or plus the whole set as bytes."""
 
@@ -265,47 +325,106 @@ def shingle_sets(df: DataFrame, text_col: str, keep: list[str], whole: bool) ->
     return rows.mapInArrow(run, head + ("shingles binary" if whole else "node long, n long, first array<long>"))
 
 
-def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, key, times of the keys of more than one node; ``batches`` (key, node) are sorted."""
-    held, hot = np.empty((0, 2), np.int64), None
+def _rows3(*cols: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["w", "key", "node"])
 
-    def emit(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        rows = rows[np.append(True, (rows[1:] != rows[:-1]).any(1))] if len(rows) else rows
-        start = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0])) if len(rows) else np.empty(0, np.int64)
-        times = np.repeat(*[np.diff(np.append(start, len(rows)))] * 2)
-        if hot is not None:
-            times[rows[:, 0] == hot] = HOT_RUN
-        keep = times > 1
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(rows[keep, 1]), pa.array(rows[keep, 0]), pa.array(np.minimum(times[keep], HOT_RUN))], ["node", "key", "times"])
 
+def prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """w, key, node from (node, first): shingles of one node of the batch (w = 1), one row for those of several (w = 2), and
+    for each node the number of its shingles of the latter kind (w = 0: key is the node, node the number). So a shingle of a
+    third of all documents gives one row per batch."""
     for b in batches:
-        if b.num_rows:
-            rows = np.concatenate([held, np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1)])
-            cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # the last key may go on
-            if len(rows) - cut > HOT_RUN and rows[cut, 1] != rows[-1, 1]:
-                yield from emit(rows[:cut])
-                hot, rows, cut = rows[-1, 0], rows[cut:], len(rows) - cut
-            elif len(rows) - cut > HOT_RUN:  # copies of one set so far
-                rows = np.concatenate([rows[:cut], rows[-1:]])
-            yield from emit(rows[:cut])
-            held = rows[cut:]
-    yield from emit(held)
+        first = b.column(1)
+        node = np.repeat(b.column(0).to_numpy(), first.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        rows = np.stack([first.flatten().to_numpy(zero_copy_only=False), node], 1)
+        if not len(rows):
+            continue
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        rows = rows[np.append(True, (rows[1:] != rows[:-1]).any(1))]
+        start = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
+        times = np.diff(np.append(start, len(rows)))
+        yield _rows3(np.minimum(times, 2), rows[start, 0], rows[start, 1])
+        known, n = np.unique(rows[np.repeat(times > 1, times), 1], return_counts=True)
+        if len(known):
+            yield _rows3(np.zeros(len(known)), known, n)
+
+
+def shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, c: numbers, to be added up, of a node's shingles that other nodes have too; ``batches`` (w, key, node) are sorted by key.
+
+    Of each key, only its first row and whether it is known to be shared stay in memory.
+    """
+    key, waiting, known = None, None, False  # the key at the end of the last batch, its only node so far, shared or not
+    for b in batches:
+        if not b.num_rows:
+            continue
+        w, k, v = (b.column(i).to_numpy() for i in range(3))
+        ready = w == 0
+        nodes, counts = [k[ready]], [v[ready]]
+        w, k, v = w[~ready], k[~ready], v[~ready]
+        if len(k):
+            if waiting is not None and k[0] == key:
+                w, k, v = np.append(1, w), np.append(key, k), np.append(waiting, v)
+            start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+            times = np.diff(np.append(start, len(k)))
+            several = (np.maximum.reduceat(w, start) > 1) | (np.minimum.reduceat(v, start) != np.maximum.reduceat(v, start))
+            several[0] |= known and k[0] == key
+            waiting = None if several[-1] else v[-1]  # one node so far: it waits for the rest of the key
+            known, key = bool(several[-1]), k[-1]
+            hit = np.repeat(several, times) & (w == 1)
+            nodes.append(v[hit])
+            counts.append(np.ones(int(hit.sum()), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(counts).astype(np.int64))], ["node", "c"])
+
+
+def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """w, key, node from (node, shingles): the least node of each key of the batch (w = 1), and an edge from every other to it
+    (w = 0: key is u, node v). So a key of a third of all documents gives one row per batch."""
+
+    def emit() -> Iterator[pa.RecordBatch]:
+        keys = np.concatenate([k for k, _ in held]).view(np.int64)
+        node = np.repeat(np.array([v for _, v in held], np.int64), [len(k) for k, _ in held])
+        order = np.lexsort((node, keys))
+        keys, node = keys[order], node[order]
+        start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        root = np.repeat(node[start], np.diff(np.append(start, len(keys))))
+        edges = np.unique(np.stack([root, node], 1)[root != node], axis=0)
+        yield _rows3(np.ones(len(start)), keys[start], node[start])
+        if len(edges):
+            yield _rows3(np.zeros(len(edges)), edges[:, 1], edges[:, 0])
+
+    held: list[tuple[np.ndarray, int]] = []
+    size = 0
+    for b in batches:
+        for i in range(b.num_rows):
+            k = chain_keys(np.frombuffer(b.column(1)[i].as_buffer(), np.uint64))
+            held.append((k, b.column(0)[i].as_py()))
+            size += len(k)
+            if size > 1 << 20:
+                yield from emit()
+                held, size = [], 0
+    if size:
+        yield from emit()
 
 
 def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (u, v) from each node of a key to the least; ``batches`` (key, node) are sorted."""
+    """Edges (u, v): those of ``key_rows``, and from each node of a key to the least; ``batches`` (w, key, node) are sorted by key, then node."""
     key, least = None, None
     for b in batches:
-        if b.num_rows:
-            k, v = b.column(0).to_numpy(), b.column(1).to_numpy()
+        w, k, v = (b.column(i).to_numpy() for i in range(3))
+        ready = w == 0
+        u_, v_ = [k[ready]], [v[ready]]
+        k, v = k[~ready], v[~ready]
+        if len(k):
             new = np.append(k[0] != key, k[1:] != k[:-1])
             at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
             root = np.where(at < 0, least if least is not None else 0, v[at])
             key, least = k[-1], root[-1]
             out = root != v
-            if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(v[out]), pa.array(root[out])], ["u", "v"])
+            u_.append(v[out])
+            v_.append(root[out])
+        if sum(map(len, u_)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u_)), pa.array(np.concatenate(v_))], ["u", "v"])
 
 
 def similar(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -368,22 +487,23 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     parts = parallelism(docs.sparkSession)
     rid = row_id(id_col, text_col)
     prints = spill(shingle_sets(docs.withColumn("__rid", rid), text_col, ["__rid", id_col], False), "sets")
-    rows = prints.select(F.explode("first").alias("key"), "node").repartition(parts, "key").sortWithinPartitions("key", "node")
-    common = rows.mapInArrow(shared_rows, "node long, key long, times long").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("times", "key"))).alias("s"))
+    deal = lambda rows: rows.repartition(parts, "key").sortWithinPartitions("key", "node")
+    counts = deal(prints.select("node", "first").mapInArrow(prefix_rows, "w long, key long, node long")).mapInArrow(shared_counts, "node long, c long").groupBy("node").agg(F.sum("c").alias("c"))
     nodes = prints.groupBy("node").agg(F.first("n").alias("n"), F.min("__rid").alias("__rid"))
-    need = F.ceil(F.ceil(F.col("n") * 4 / 5) / 10)
-    keys = common.join(nodes.select("node", "n"), "node").where(F.size("s") >= need).select("node", F.explode(F.expr("slice(s, 1, int(size(s) - ceil(ceil(n * 4 / 5) / 10) + 1))")).alias("e"))
-    dealt = keys.select(F.col("e.key").alias("key"), "node").repartition(parts, "key").sortWithinPartitions("key", "node")
-    cand = spill(components(dealt.mapInArrow(stars, "u long, v long")).join(nodes, "node"), "candidates")
+    alive = counts.join(nodes, "node").where(F.col("c") >= F.ceil(F.ceil(F.col("n") * 4 / 5) / 10)).select("node", "n", "__rid")
+    texts = docs.select(rid.alias("__rid"), F.col(text_col).alias("__text")).join(alive.hint("merge"), "__rid").dropDuplicates(["node"])
+    sets = spill(shingle_sets(texts, "__text", ["node", "n"], True), "alive")
+    comp = components(deal(sets.select("node", "shingles").mapInArrow(key_rows, "w long, key long, node long")).mapInArrow(stars, "u long, v long"))
+    cand = spill(comp.join(sets.select("node", "n"), "node"), "candidates")
     blocks = cand.groupBy("root").agg(F.ceil(F.sum("n") / CELL_SHINGLES).cast("int").alias("b"))
-    asked = cand.join(blocks, "root").select("__rid", "node", "root", "b")
-    texts = docs.select(rid.alias("__rid"), F.col(text_col).alias("__text")).join(asked.hint("merge"), "__rid")
-    sets = shingle_sets(texts, "__text", ["root", "b", "node"], True)
+    asked = sets.select("node", "shingles").join(cand.join(blocks, "root").select("node", "root", "b"), "node")
     own, other = F.pmod(F.col("node"), F.col("b")).cast("int"), F.col("o")
-    copies = sets.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("b") - 1))).select("root", F.least(own, other).alias("lo"), F.greatest(own, other).alias("hi"), "node", "shingles")
+    copies = asked.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("b") - 1))).select("root", F.least(own, other).alias("lo"), F.greatest(own, other).alias("hi"), "node", "shingles")
     cells = copies.repartition(parts, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "node")
-    comp = components(cells.mapInArrow(cell_edges, "u long, v long"))
-    return prints.join(comp, "node", "left").select(F.col("__rid").alias("rid"), F.col(id_col).alias("id"), F.coalesce("root", "node").alias("group"))
+    linked = components(cells.mapInArrow(cell_edges, "u long, v long"))
+    out = spill(prints.join(linked, "node", "left").select(F.col("__rid").alias("rid"), F.col(id_col).alias("id"), F.coalesce("root", "node").alias("group")), "groups")
+    drop(prints, sets, cand)
+    return out
 
 
 def row_id(id_col: str, text_col: str):
@@ -397,6 +517,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     best = groups.groupBy("group").agg(F.min(F.struct(F.isnull("id").alias("no"), "id", "rid")).alias("b"))
     of_row = groups.groupBy("rid").agg(F.count("*").alias("n"))
     chosen = spill(best.select(F.col("b.rid").alias("rid")).join(of_row, "rid").select(F.col("rid").alias("__rid"), "n"), "chosen")
+    drop(groups)
     rows = docs.withColumn("__rid", row_id(id_col, text_col))
     single = rows.join(chosen.where("n = 1").select("__rid").hint("merge"), "__rid", "left_semi")
     repeated = rows.join(chosen.where("n > 1").select("__rid").hint("merge"), "__rid", "left_semi").dropDuplicates(["__rid"])

@@ -156,12 +156,23 @@ def test_links_of_dense_prints(spark):
     node = [x - (1 << 64) if x >> 63 else x for x in f]
     df = spark.createDataFrame([(x, x) for x in node], "node long, f0 long")
     got = defaultdict(set)
-    for r in components(simhash.link(df, 1, simhash.ring_keys, simhash.near_3)).collect():
+    for r in components(simhash.link(df)).collect():
         got[r["root"]].add(r["node"])
     want = {frozenset(node[i] for i in g) for g in groups_of(len(f), lambda i, j: (f[i] ^ f[j]).bit_count() <= 3) if len(g) > 1}
     assert {frozenset(x) for x in got.values()} == want
 
 
+def test_chains_are_followed_segment_by_segment():
+    """A chain over its budget at any length is out; what is left is decided by the full distance."""
+    rnd = random.Random(10)
+    x = [sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 5))) for _ in range(3000)]
+    start = np.array([rnd.randrange(4) for _ in x])
+    got = set(simhash.near(np.array(x, np.uint64), start).tolist())
+    for i, v in enumerate(x):
+        seg = [(v >> 16 * ((int(start[i]) + n) % 4) & 0xFFFF).bit_count() for n in range(4)]
+        assert (i in got) == all(4 * sum(seg[: n + 1]) <= 3 * (n + 1) for n in range(4))
+
+
 def test_op4(spark, small, docs):
     from tokenizers import Tokenizer
 
@@ -453,6 +464,7 @@ def test_components_with_hot_hubs(spark, monkeypatch):
     from loomgrid.llm import components as C
 
     monkeypatch.setattr(C, "HOT_LEAST", 3)
+    monkeypatch.setattr(C, "HUB_PARTS", 4)
     rng = np.random.RandomState(4)
     edges = [(0, k) for k in range(1, 40)] + [(99, k) for k in range(60, 99)] + [(k, k + 1) for k in range(100, 130)] + [tuple(map(int, rng.randint(200, 400, 2))) for _ in range(90)] + [(5, 5)]
     root = list(range(500))
