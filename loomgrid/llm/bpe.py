@@ -5,7 +5,7 @@ around the join is encoded again and grows until its first tokens agree with the
 side. Agreement is exact in two cases, and only those are accepted:
 
 - the window begins and ends at positions where the pre-tokenizer must split whatever stands beyond (a letter before
-  a non-letter, or a digit before a non-digit), and the tokens next to both ends agree; or
+  a non-letter, or a digit before a non-digit), and its first and last tokens are those of the left and right side there; or
 - the window lies within one run of letters or of digits, so within one pre-token. A sequence of BPE tokens is the
   encoding of its text if and only if each adjacent pair is the encoding of the pair's text, so one agreed token on
   either side proves the whole.
@@ -108,7 +108,9 @@ class Codec:
                 cut_l = self._before(left, len(text[a:mid].encode()))
                 cut_r = self._after(right, len(text[mid:b].encode()))
                 if cut_l is not None and cut_r is not None:
-                    return lo, hi, np.concatenate([left[:cut_l], self._base(text[a:b]), right[cut_r:]])
+                    mine = self._base(text[a:b])
+                    if (a == lo or mine[0] == left[cut_l]) and (b == hi or mine[-1] == right[cut_r - 1]):
+                        return lo, hi, np.concatenate([left[:cut_l], mine, right[cut_r:]])
             elif (out := self._within(text, a0, mid, b0, left, right)) is not None:
                 return lo, hi, out
             span *= 2

@@ -1,10 +1,12 @@
-"""Hierarchical multi-length packing of tokenised documents, without a shuffle.
+"""Hierarchical multi-length packing of tokenised documents; texts and ids are never shuffled.
 
 Every task packs the documents of its own input partition. Whole windows of the longest tier are cut off a document
 first; its rest goes to the smallest context-size tier that holds it. Tiers are packed from the longest down: a sequence
 opens with the largest rest of its tier, its gap is filled with whole rests of the same or shorter tiers (largest
 fit), and what no whole rest fits is filled with a cut of one. So only the last sequence of a task can be short; it is
-split at powers of two, which need no padding. Sequences of a tier form step groups of an equal number of tokens.
+split at powers of two, which need no padding. Sequences of one length form step groups of STEP_TOKENS tokens: they are
+numbered over all tasks, from the number of each task's sequences of that length, so of every length all groups but the
+last are full and a training step can take any of them.
 
 Cases: a null or empty text is one end token; null and repeated ids are packed like others (a piece belongs to its row);
 a text of any length is cut as needed; an empty table gives no sequences; extra columns are ignored.
@@ -21,10 +23,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from loomgrid.llm.bpe import codec, tokenizer_path
-from loomgrid.llm.common import table
+from loomgrid.llm.common import spill, table
 
 TIERS = (256, 512, 1024)
 STEP_TOKENS = 32_768
@@ -120,6 +123,7 @@ class Packer:
 
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
+PLACED = SCHEMA.replace("step_group long", "__task int, __k long")
 
 
 def pack(docs: DataFrame, id_col: str, text_col: str, path: str | None = None, tiers: tuple[int, ...] = TIERS, with_ids: bool = False) -> DataFrame:
@@ -135,13 +139,13 @@ def pack(docs: DataFrame, id_col: str, text_col: str, path: str | None = None, t
 
         def emit(tier: int, seq: list[Rest]) -> None:
             nonlocal n_seq
-            group = filled[tier] // STEP_TOKENS
-            filled[tier] += tier
+            k = filled[tier]
+            filled[tier] += 1
             at = 0
             for r in seq:
                 doc = held[r.doc]
                 ids = doc[1][r.start : r.end]
-                out.append((doc[0], r.start, len(r), zlib.crc32(ids.tobytes()), len(doc[1]), (task << 32) + n_seq, at, tier, (task << 40) + (tier << 24) + group, *([ids.tolist()] if with_ids else [])))
+                out.append((doc[0], r.start, len(r), zlib.crc32(ids.tobytes()), len(doc[1]), (task << 32) + n_seq, at, tier, task, k, *([ids.tolist()] if with_ids else [])))
                 at += len(r)
                 doc[2] -= len(r)
                 if not doc[2]:
@@ -152,7 +156,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, path: str | None = None, t
             nonlocal out
             if len(out) > least:
                 cols = list(zip(*out))
-                kinds = [id_type, *[pa.int64()] * 6, pa.int32(), pa.int64(), pa.list_(pa.int64())]
+                kinds = [id_type, *[pa.int64()] * 6, pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds)], names)
                 out = []
 
@@ -172,8 +176,14 @@ def pack(docs: DataFrame, id_col: str, text_col: str, path: str | None = None, t
         packer.finish()
         yield from flush(0)
 
-    names = [id_col, *(x.split()[0] for x in SCHEMA.split(", ")), *(["ids"] if with_ids else [])]
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {SCHEMA}" + ", ids array<long>" * with_ids)
+    names = ["__doc", *(x.split()[0] for x in PLACED.split(", ")), *(["ids"] if with_ids else [])]
+    pieces = spill(docs.select(id_col, text_col).mapInArrow(run, f"__doc {kind}, {PLACED}" + ", ids array<long>" * with_ids), "pieces")
+    before = Window.partitionBy("tier").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)  # one row per task of each length
+    counts = pieces.where("offset = 0").groupBy("tier", "__task").agg(F.count("*").alias("__n"))
+    starts = counts.select("tier", "__task", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    group = F.shiftleft(F.col("tier").cast("long"), 40) + F.floor((F.col("__start") + F.col("__k")) * F.col("tier") / STEP_TOKENS).cast("long")
+    out = pieces.join(starts, ["tier", "__task"]).withColumn("step_group", group)
+    return out.select(F.col("__doc").alias(id_col), *(x.split()[0] for x in SCHEMA.split(", ")), *(["ids"] if with_ids else []))
 
 
 def op4_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

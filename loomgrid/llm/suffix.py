@@ -5,15 +5,20 @@ is removed. Only suffixes at content-defined anchors are sorted: the anchor of p
 of 32 bytes among the first starts of its window, so equal windows have equal anchors at equal offsets.
 
 1. Equal texts become one text with a count (every byte of a repeated text is repeated).
-2. Anchors whose next bytes occur only once are left out: no other suffix shares what a repeat would need.
+2. Anchors whose next ``Shape.prefix`` bytes occur only once (by a hash, so some more may stay in) are left out: no other
+   suffix shares what a repeat would need.
 3. Each task sorts the suffixes of its anchors into runs. Runs are cut at common splitters, front-coded (prefix shared
    with the string before, then the rest) and exchanged; the bytes to the left of an anchor travel with its suffix.
 4. Each range is merged by a loser tree whose comparisons start behind the known common prefix, which also yields the
    common prefix of all neighbours in the merged order.
 5. The start at offset o before an anchor is repeated if another suffix shares ``length - o`` bytes, which the common
-   prefixes tell, and the o bytes to its left (compared by a 64-bit hash among suffixes that share the former).
+   prefixes tell, and the o bytes to its left, which are compared byte by byte, from right to left, among those not yet told apart.
 
-Nothing is capped: runs, ranges and tables grow with the input, and a task holds one run, one range or one text.
+Nothing is capped, and no hash decides a match. The number of ranges follows from the bytes of the suffixes that are left
+after step 2, RANGE_BYTES each, and splitters from all of them; suffixes whose first eight bytes alone would fill several
+ranges are dealt over as many by the hash of their next ``Shape.prefix`` bytes, which all partners share. So a task holds
+one run, one range or one text, whatever the size of the input; only suffixes that agree in all those bytes must meet,
+and of these equal ones of one run are one entry.
 
 Cases: null and empty texts have nothing to remove; texts shorter than ``length`` never match; repeated rows are equal
 texts; text of one repeated byte makes every position an anchor and stays exact; extra columns are ignored or kept.
@@ -31,13 +36,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import parallelism, shared_dir, sheltered, spill, table
+from loomgrid.llm.common import at_exit, drop, parallelism, shared_dir, sheltered, spill, table
 
 LENGTH = 200
 GRAM = 32
 CHUNK = 1 << 19  # starts of one text that are handled at a time
 RUN_BYTES = 16 << 20  # suffix bytes that a task sorts at a time
-SPLITTER_TEXTS = 1_000  # texts whose anchors set the borders between ranges
+RANGE_BYTES = 32 << 20  # suffix bytes that a task merges at a time
+MERGE_TASKS = 10_000  # a task merges its ranges one after the other
+MAX_ACCURACY = 1_000_000  # of the splitters, which only balance the ranges
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 POWER = {k: np.uint64(pow(int(BASE), k, 1 << 64)) for k in (1, 2, 4, 8, 16, 32, 64)}
@@ -131,9 +138,31 @@ def rows_of(t: np.ndarray, x: np.ndarray, span: np.ndarray, s: Shape) -> np.ndar
     return out
 
 
-def make_run(mat: np.ndarray, length: np.ndarray, pos: np.ndarray, tid: np.ndarray, splitters: np.ndarray, s: Shape) -> Iterator[tuple]:
-    """Sorts one run and cuts it at the splitters; equal rows become one entry with several members."""
+class Ranges:
+    """Borders between ranges: values of ``leading``, in order. A value that is listed several times has as many ranges of its
+    own, dealt by a hash."""
+
+    def __init__(self, cut: list[int]):
+        self.border, ways = np.unique(np.array(cut, np.int64), return_counts=True)
+        self.ways = np.where(ways > 1, ways, 0)
+        self.first = len(self.border) + 1 + np.cumsum(self.ways) - self.ways
+
+    def of(self, lead: np.ndarray, key: np.ndarray) -> np.ndarray:
+        rng = np.searchsorted(self.border, lead, side="right")
+        if self.ways.any():
+            i = np.maximum(rng - 1, 0)
+            own = np.flatnonzero((rng > 0) & (self.border[i] == lead) & (self.ways[i] > 0))
+            rng[own] = self.first[i[own]] + (key[own].view(np.uint64) % self.ways[i[own]].astype(np.uint64)).astype(np.int64)
+        return rng
+
+
+def make_run(mat: np.ndarray, length: np.ndarray, pos: np.ndarray, key: np.ndarray, tid: np.ndarray, ranges: Ranges, s: Shape) -> Iterator[tuple]:
+    """Sorts one run and cuts it into its ranges; equal rows become one entry with several members."""
     order = np.argsort(np.ascontiguousarray(mat).view(f"V{s.row}").ravel(), kind="stable")
+    rng = ranges.of(leading(mat), key)[order]
+    if ranges.ways.any():
+        again = np.argsort(rng, kind="stable")
+        order, rng = order[again], rng[again]
     mat, length, pos, tid = mat[order], length[order], pos[order], tid[order]
     differ = mat[1:] != mat[:-1]
     new = np.append(True, differ.any(1))
@@ -141,8 +170,7 @@ def make_run(mat: np.ndarray, length: np.ndarray, pos: np.ndarray, tid: np.ndarr
     entry = np.cumsum(new) - 1
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(mat)))
-    mat, length, lcp = mat[first], length[first], np.minimum(lcp[first], length[first])
-    rng = np.searchsorted(splitters, leading(mat), side="right")
+    mat, length, lcp, rng = mat[first], length[first], np.minimum(lcp[first], length[first]), rng[first]
     cuts = np.append(np.flatnonzero(np.append(True, rng[1:] != rng[:-1])), len(rng))
     col = np.arange(s.length)
     for a, b in zip(cuts[:-1], cuts[1:]):
@@ -262,21 +290,26 @@ def repeated_offsets(runs: list[tuple[bytes, bytes, bytes, bytes, bytes]], s: Sh
     twice[perm] = np.concatenate([np.frombuffer(r[3], np.uint8) for r in runs]) > 0
     side[perm] = np.concatenate([unpack_side(r[4], len(r[3]), s.window - 1) for r in runs])
     lo, hi = side[:, -2], side[:, -1]
-    bits = np.zeros((n, s.window), bool)
-    left, power = np.zeros(n, np.uint64), 1
+    offset = np.arange(s.window)
+    bits = twice[:, None] & (lo[:, None] <= offset) & (offset <= hi[:, None])  # several members: a repeat at every offset
+    left, same_left = np.arange(n), np.zeros(n, np.int64)  # entries that may still have a partner; equal numbers: the same bytes to the left
     for o in range(s.window):
         if o:
-            left += (side[:, o - 1].astype(np.uint64) + np.uint64(1)) * np.uint64(power)
-            power = power * int(BASE) % (1 << 64)
-        at = np.flatnonzero((lo <= o) & (o <= hi))
-        same_right = np.cumsum(shared < s.length - o)[at].astype(np.uint64)
-        key = (left[at] ^ left[at] >> np.uint64(31)) * MIX + same_right * BASE
+            stay = hi[left] >= o
+            left, same_left = left[stay], same_left[stay]
+            _, same_left, times = np.unique(same_left * 256 + side[left, o - 1], return_inverse=True, return_counts=True)
+            stay = times[same_left] > 1
+            left, same_left = left[stay], same_left[stay]
+        if not len(left):
+            break
+        now = lo[left] <= o
+        at = left[now]
+        same_right = np.cumsum(shared < s.length - o)[at]
+        key = same_left[now] * (n + 1) + same_right
         order = np.argsort(key)
         eq = key[order][1:] == key[order][:-1]
-        hit = twice[at]
-        hit[order[1:][eq]] = True
-        hit[order[:-1][eq]] = True
-        bits[at, o] = hit
+        bits[at[order[1:][eq]], o] = True
+        bits[at[order[:-1][eq]], o] = True
     packed = np.packbits(bits, axis=1)[perm]
     return np.split(packed, np.cumsum([len(r[3]) for r in runs])[:-1])
 
@@ -290,12 +323,16 @@ def text_key(text: Column) -> Column:
 
 
 def distinct_texts(rows: DataFrame, n: int) -> DataFrame:
-    """(tid, text, copies) as a table bucketed by tid, so that later joins with it never move the texts again."""
+    """(tid, text, copies, n) as a table bucketed by tid, so that later joins with it never move the texts again."""
     spark = rows.sparkSession
-    one = rows.groupBy("tid").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    one = rows.groupBy("tid").agg(F.first("text").alias("text"), F.count("*").alias("copies")).withColumn("n", F.octet_length("text"))
     name = f"loomgrid_texts_{uuid.uuid4().hex}"
-    one.write.bucketBy(n, "tid").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    path = f"{shared_dir(spark)}/{name}"
+    one.write.bucketBy(n, "tid").option("path", path).option("compression", "zstd").saveAsTable(name)
+    at_exit(spark, path)
+    out = spark.table(name)
+    out._spill_path = path
+    return out
 
 
 def _binary(b: pa.RecordBatch, i: int) -> pa.Array:
@@ -303,7 +340,7 @@ def _binary(b: pa.RecordBatch, i: int) -> pa.Array:
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """tid, text, copies, starts array<int>, ends array<int>: the maximal removed runs of each text of ``distinct_texts``."""
+    """tid, starts array<int>, ends array<int>: the maximal removed runs of each text of ``distinct_texts``."""
     s = Shape(length)
     spark = texts.sparkSession
     n_parts = parallelism(spark)
@@ -328,15 +365,14 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
     found = texts.select("tid", "text").mapInArrow(find_anchors, "h long, salt int, w int, tid binary, pos int, span int, lead long")
     of_hash = Window.partitionBy("h", "salt")
-    shared = found.withColumn("c", F.sum("w").over(of_hash)).where("c > 1").select("tid", "pos", "span")
-
-    # Splitters only balance the ranges. The table is bucketed by a hash of the text, so its first rows are a random sample.
-    some = texts.select("tid", "text").limit(SPLITTER_TEXTS).mapInArrow(find_anchors, found.schema)
-    q = [k / n_parts for k in range(1, n_parts)]
-    cut = some.agg(F.percentile_approx("lead", F.array(*[F.lit(x) for x in q]), F.lit(max(1000, 20 * n_parts))).alias("q")).first()["q"] if q else None
-    splitters = np.unique(np.array(cut or [], np.int64))
-
-    per_text = shared.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("pos", "span"))).alias("a")).select("tid", F.col("a.pos").alias("pos"), F.col("a.span").alias("span"))
+    shared = found.withColumn("c", F.sum("w").over(of_hash)).where("c > 1").select("tid", "pos", "span", "h", "lead")
+    anchor = F.struct("pos", "span", "h", "lead")
+    per_text = spill(shared.groupBy("tid").agg(F.sort_array(F.collect_list(anchor)).alias("a")).select("tid", *[F.col(f"a.{c}").alias(c) for c in ("pos", "span", "h", "lead")]), "anchors")
+
+    n_ranges = max(n_parts, -(-(per_text.agg(F.sum(F.size("pos"))).first()[0] or 0) * s.row // RANGE_BYTES))
+    q = [k / n_ranges for k in range(1, n_ranges)]
+    cut = per_text.select(F.explode("lead").alias("lead")).agg(F.percentile_approx("lead", F.array(*[F.lit(x) for x in q]), F.lit(max(1_000, min(20 * n_ranges, MAX_ACCURACY)))).alias("q")).first()["q"] if q else None
+    ranges = Ranges(cut or [])
     step = max(1, RUN_BYTES // s.row)
 
     def build_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,7 +381,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held, size, n_run
             if held:
-                rows = [((task << 24) + n_run, *r) for r in make_run(*(np.concatenate(c) for c in zip(*held)), splitters, s)]
+                rows = [((task << 24) + n_run, *r) for r in make_run(*(np.concatenate(c) for c in zip(*held)), ranges, s)]
                 n_run, held, size = n_run + 1, [], 0
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int32(), pa.int32()] + [pa.binary()] * 8)], [x.split()[0] for x in RUNS.split(", ")])
 
@@ -353,22 +389,22 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
             text = _binary(b, 1)
             for i in range(b.num_rows):
                 t = as_bytes(text[i].as_py())
-                pos, span = (b.column(k)[i].values.to_numpy().astype(np.int64) for k in (2, 3))
+                pos, span, key = (b.column(k)[i].values.to_numpy().astype(np.int64) for k in (2, 3, 4))
                 for a in range(0, len(pos), step):
                     x = pos[a : a + step]
-                    held.append((rows_of(t, x, span[a : a + step], s), np.minimum(len(t) - x, s.length), x, np.full(len(x), np.void(b.column(0)[i].as_py()))))
+                    held.append((rows_of(t, x, span[a : a + step], s), np.minimum(len(t) - x, s.length), x, key[a : a + step], np.full(len(x), np.void(b.column(0)[i].as_py()))))
                     size += len(x) * s.row
                     if size >= RUN_BYTES:
                         yield from flush()
         yield from flush()
 
-    runs = spill(texts.select("tid", "text").join(per_text, "tid").mapInArrow(build_runs, RUNS), "runs")
+    runs = spill(texts.select("tid", "text").join(per_text.drop("lead"), "tid").mapInArrow(build_runs, RUNS), "runs")
 
     def merge(t: pa.Table) -> pa.Table:
         found = repeated_offsets(list(zip(*(t[c].to_pylist() for c in ("lcp", "len", "tails", "twice", "side")))), s)
         return pa.table({"run": t["run"], "rng": t["rng"], "mask": pa.array([x.tobytes() for x in found], pa.binary())})
 
-    masks = runs.select("run", "rng", "lcp", "len", "tails", "twice", "side").groupBy("rng").applyInArrow(merge, "run long, rng int, mask binary")
+    masks = runs.select("run", "rng", "lcp", "len", "tails", "twice", "side").repartition(min(n_ranges, max(n_parts, MERGE_TASKS)), "rng").groupBy("rng").applyInArrow(merge, "run long, rng int, mask binary")
     width = (s.window + 7) // 8
 
     def to_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,8 +433,10 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                     rows.append(([], []))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.list_(pa.int32())) for c in (zip(*rows) if rows else ((), ())))], ["tid", "starts", "ends"])
 
-    sized = texts.select("tid", "copies", F.octet_length("text").alias("n"))
-    return sized.join(proofs, "tid", "left").select("tid", "copies", "n", "pos", "mask").mapInArrow(spans, "tid binary, starts array<int>, ends array<int>")
+    sized = texts.select("tid", "copies", "n")
+    out = spill(sized.join(proofs, "tid", "left").select("tid", "copies", "n", "pos", "mask").mapInArrow(spans, "tid binary, starts array<int>, ends array<int>"), "spans")
+    drop(per_text, runs)
+    return out
 
 
 def ids16(raw: bytes) -> pa.Array:
@@ -422,8 +460,9 @@ def keep_rest(raw: bytes, starts: list[int], ends: list[int]) -> bytes:
     return b"".join([*parts, raw[at:]])
 
 
-def clean_texts(docs: DataFrame, text_col: str, length: int = LENGTH, as_text: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Keyed input rows (with ``__raw``, ``__n`` and ``__tid``), and per distinct text tid: kept, n_removed, n_spans.
+def clean_texts(docs: DataFrame, text_col: str, length: int = LENGTH, as_text: bool = False) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Keyed input rows (with ``__raw``, ``__n`` and ``__tid``), per distinct text tid: kept, n_removed, n_spans, and the
+    written tables behind these, to be dropped after use.
 
     ``kept`` is binary, or with ``as_text`` a string without the characters that a cut has broken.
     """
@@ -443,24 +482,28 @@ def clean_texts(docs: DataFrame, text_col: str, length: int = LENGTH, as_text: b
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(n_removed, pa.int64()), pa.array([len(x) if x else 0 for x in b.column(2).to_pylist()], pa.int64())], ["tid", "kept", "n_removed", "n_spans"])
 
     rest = texts.select("tid", "text").join(spans, "tid").select("tid", "text", "starts", "ends").mapInArrow(cut, f"tid binary, kept {'string' if as_text else 'binary'}, n_removed long, n_spans long")
-    return keyed, rest
+    return keyed, rest, [texts, spans]
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    keyed, rest = clean_texts(docs, "text")
+    keyed, rest, written = clean_texts(docs, "text")
     digest = rest.select(F.col("tid").alias("__tid"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
     rows = keyed.select("doc_id", "__tid", F.col("__n").alias("n_bytes"), F.when(F.col("__n") < LENGTH, F.sha2("__raw", 256)).alias("__own"))
-    return rows.join(digest, "__tid", "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
-        F.coalesce("kept_sha256", "__own").alias("kept_sha256"),
+    out = spill(
+        rows.join(digest, "__tid", "left").select(
+            "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
+            F.coalesce("kept_sha256", "__own").alias("kept_sha256"),
+        ), "kept",
     )
+    drop(*written)
+    return out
 
 
 def without_repeats(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
     """The documents with repeated passages cut out of their texts; those of which nothing is left go."""
     docs, back = sheltered(docs, (text_col, size_col))
-    keyed, rest = clean_texts(docs, text_col, as_text=True)
+    keyed, rest, _ = clean_texts(docs, text_col, as_text=True)  # the result reads the written tables: they go at the end of the application
     short = F.col("__n") < LENGTH
     rows = keyed.select(*docs.columns, "__n", "__tid").withColumn(text_col, F.when(short, F.col(text_col)))
     cut = rest.select(F.col("tid").alias("__tid"), F.col("kept").alias("__kept"))

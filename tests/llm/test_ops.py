@@ -101,13 +101,32 @@ def test_other_lengths(spark):
     texts = [b"".join(rnd.choice(blocks)[rnd.randint(0, 60) :] for _ in range(6)) for _ in range(20)]
     for n in (64, 100, 400):
         df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "i long, t string")
-        keyed, rest = suffix.clean_texts(df, "t", n)
+        _, rest, _ = suffix.clean_texts(df, "t", n)
         got = {bytes(r["tid"]): bytes(r["kept"]) for r in rest.collect()}
         for t, sp in zip(texts, suffix.brute_force(texts, n)):
             if len(t) >= n:
                 assert got[hashlib.sha256(t).digest()[:16]] == suffix.keep_rest(t, [a for a, _ in sp], [b for _, b in sp])
 
 
+def test_op2_with_many_ranges_and_one_hot_prefix(spark, monkeypatch):
+    """Ranges follow from the bytes; suffixes of one common beginning are dealt over several of them."""
+    monkeypatch.setattr(suffix, "RANGE_BYTES", 1 << 13)
+    rnd = random.Random(12)
+    say = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    lines = [("same old header " * 8)[:110] + say(160) for _ in range(6)]
+    texts = [say(rnd.randint(0, 90)) + rnd.choice(lines)[rnd.randint(0, 8) :] + say(rnd.randint(0, 50)) + rnd.choice(lines) for _ in range(60)] + ["ab" * 400, "x" + "ab" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    _, rest, written = suffix.clean_texts(df, "t")
+    got = {bytes(r["tid"]): bytes(r["kept"]) for r in rest.collect()}
+    raws = [t.encode() for t in texts]
+    for t, sp in zip(raws, suffix.brute_force(raws)):
+        if len(t) >= 200:
+            assert got[hashlib.sha256(t).digest()[:16]] == suffix.keep_rest(t, [a for a, _ in sp], [b for _, b in sp])
+    r = suffix.Ranges([3, 5, 5, 5, 9])
+    assert r.of(np.array([1, 3, 4, 6, 9, 10]), np.arange(6)).tolist() == [0, 1, 1, 2, 3, 3]
+    assert sorted(r.of(np.full(30, 5), np.arange(30)).tolist()) == [4] * 10 + [5] * 10 + [6] * 10
+
+
 def brute_print(t, k=3):
     w = re.findall(rb"[^\x20\x09-\x0D]+", t.lower())
     if not w:
@@ -200,6 +219,15 @@ def test_op4(spark, small, docs):
         assert at <= 1024
         pad += 0 if at & (at - 1) == 0 else 1024 - at
     assert pad <= 0.01 * total
+    lengths, groups = {}, defaultdict(int)
+    for r in rows:
+        lengths[r["sequence_id"]] = (r["step_group"], r["tier"])
+    for group, tier in lengths.values():
+        groups[tier, group] += tier
+    by_tier = defaultdict(list)
+    for (tier, _), n in groups.items():
+        by_tier[tier].append(n)
+    assert all(sum(n != packing.STEP_TOKENS for n in v) <= 1 and max(v) <= packing.STEP_TOKENS for v in by_tier.values())
     once = [d for d in docs if sum(x["doc_id"] == d["doc_id"] for x in docs) == 1][:10]
     for d in once:
         cover = sorted((r["start"], r["length"]) for r in rows if r["doc_id"] == d["doc_id"])
