@@ -74,6 +74,20 @@ def train_svm(x: np.ndarray, y: np.ndarray, reg: float = 1e-4, rounds: int = 60)
     return np.append(w, np.float32(b))
 
 
+@dataclass
+class Sample:
+    """Feature rows kept sparse; a machine gets only its own rows as a matrix."""
+
+    at: list[np.ndarray]
+    value: list[np.ndarray]
+
+    def matrix(self, rows: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(rows), DIM), np.float32)
+        for i, r in enumerate(rows.tolist()):
+            x[i, self.at[r]] = self.value[r]
+        return x
+
+
 @dataclass
 class Duel:
     """One-versus-one machines between a few classes."""
@@ -82,13 +96,14 @@ class Duel:
     weights: np.ndarray  # one row of weights and bias per pair of classes, in the order of combinations()
 
     @classmethod
-    def fit(cls, x: np.ndarray, labels: np.ndarray) -> Duel:
+    def fit(cls, sample: Sample, rows: np.ndarray, labels: np.ndarray) -> Duel:
+        """``labels`` of the sample's ``rows``."""
         classes = sorted(set(labels))
-        rows = []
+        machines = []
         for a, b in combinations(classes, 2):
             m = (labels == a) | (labels == b)
-            rows.append(train_svm(x[m], np.where(labels[m] == a, 1.0, -1.0).astype(np.float32)))
-        return cls(classes, np.array(rows, np.float32).reshape(len(rows), x.shape[1] + 1))
+            machines.append(train_svm(sample.matrix(rows[m]), np.where(labels[m] == a, 1.0, -1.0).astype(np.float32)))
+        return cls(classes, np.array(machines, np.float32).reshape(len(machines), DIM + 1))
 
     def predict(self, v: np.ndarray) -> tuple[str, float]:
         """The class with most wins (then the larger sum of margins), and its least confident win as a probability."""
@@ -111,12 +126,12 @@ class LanguageModel:
     within: dict[str, Duel] = field(default_factory=dict)
 
     @classmethod
-    def fit(cls, x: np.ndarray, langs: list[str]) -> LanguageModel:
+    def fit(cls, sample: Sample, langs: list[str]) -> LanguageModel:
         if not langs:
             return cls()
-        lang = np.array(langs, object)
+        lang, every = np.array(langs, object), np.arange(len(langs))
         fam = np.array([family(a) for a in langs], object)
-        return cls(Duel.fit(x, fam), {f: Duel.fit(x[fam == f], lang[fam == f]) for f in sorted(set(fam))})
+        return cls(Duel.fit(sample, every, fam), {f: Duel.fit(sample, every[fam == f], lang[fam == f]) for f in sorted(set(fam))})
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if self.families is None or not text or not has_letter(text):
@@ -156,11 +171,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     sample = keyed.where(F.col("o") <= F.try_element_at(last, F.col("l"))).select("l", "o", "t")
     got = sample.mapInArrow(sparse, "lang string, o long, at array<int>, val array<float>").toArrow()
     got = got.sort_by([("lang", "ascending"), ("o", "ascending")])  # the same model whatever order rows arrive in
-    x = np.zeros((got.num_rows, DIM), np.float32)
-    langs = got["lang"].to_pylist()
-    for i, (k, v) in enumerate(zip(got["at"], got["val"])):
-        x[i, k.values.to_numpy()] = v.values.to_numpy()
-    return LanguageModel.fit(x, langs)
+    col = lambda c: [v.values.to_numpy() for v in got[c]]
+    return LanguageModel.fit(Sample(col("at"), col("val")), got["lang"].to_pylist())
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text") -> DataFrame:

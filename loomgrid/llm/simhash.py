@@ -218,7 +218,7 @@ def op3_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sharing a key joins documents into candidate groups; inside each, the exact similarity decides, in cells of bounded size.
 
 STAGE_SHINGLE = 5
-CHAIN_LEAST = 3  # shingles in common that end a chain
+CHAIN_LEAST = 2  # shingles in common that end a chain
 SHINGLE_MIX, SEGMENT_MIX, PLACE_MIX = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))  # odd multipliers
 CELL_SHINGLES = 1 << 22  # shingles of one block of a candidate group; a task holds two blocks
 
@@ -242,7 +242,7 @@ def prefix(h: np.ndarray) -> np.ndarray:
 
 
 def size_class(n: int) -> int:
-    """Sizes of one class differ by a factor of less than 5 / 4; ``class_end`` is the first size beyond."""
+    """Sizes of one class differ by a factor of less than 3 / 2; ``class_end`` is the first size beyond."""
     j = 0
     while class_end(j) <= n:
         j += 1
@@ -251,7 +251,7 @@ def size_class(n: int) -> int:
 
 @lru_cache(None)
 def class_end(j: int) -> int:
-    return 2 if j == 0 else max(class_end(j - 1) + 1, -(-5 * class_end(j - 1) // 4))
+    return 2 if j == 0 else max(class_end(j - 1) + 1, 3 * class_end(j - 1) // 2)
 
 
 def mixed(x: np.ndarray, by: np.uint64) -> np.ndarray:
@@ -490,9 +490,11 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     deal = lambda rows: rows.repartition(parts, "key").sortWithinPartitions("key", "node")
     counts = deal(prints.select("node", "first").mapInArrow(prefix_rows, "w long, key long, node long")).mapInArrow(shared_counts, "node long, c long").groupBy("node").agg(F.sum("c").alias("c"))
     nodes = prints.groupBy("node").agg(F.first("n").alias("n"), F.min("__rid").alias("__rid"))
-    alive = counts.join(nodes, "node").where(F.col("c") >= F.ceil(F.ceil(F.col("n") * 4 / 5) / 10)).select("node", "n", "__rid")
-    texts = docs.select(rid.alias("__rid"), F.col(text_col).alias("__text")).join(alive.hint("merge"), "__rid").dropDuplicates(["node"])
-    sets = spill(shingle_sets(texts, "__text", ["node", "n"], True), "alive")
+    alive = spill(counts.join(nodes, "node").where(F.col("c") >= F.ceil(F.ceil(F.col("n") * 4 / 5) / 10)).select("node", "n", "__rid"), "alive")
+    rows = spill(prints.select("__rid", id_col, "node"), "rows")
+    drop(prints)
+    texts = docs.select(rid.alias("__rid"), F.col(text_col).alias("__text")).join(alive.hint("merge"), "__rid").dropDuplicates(["__rid"])
+    sets = spill(shingle_sets(texts, "__text", ["node", "n"], True), "alive-sets")
     comp = components(deal(sets.select("node", "shingles").mapInArrow(key_rows, "w long, key long, node long")).mapInArrow(stars, "u long, v long"))
     cand = spill(comp.join(sets.select("node", "n"), "node"), "candidates")
     blocks = cand.groupBy("root").agg(F.ceil(F.sum("n") / CELL_SHINGLES).cast("int").alias("b"))
@@ -501,8 +503,8 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     copies = asked.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("b") - 1))).select("root", F.least(own, other).alias("lo"), F.greatest(own, other).alias("hi"), "node", "shingles")
     cells = copies.repartition(parts, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "node")
     linked = components(cells.mapInArrow(cell_edges, "u long, v long"))
-    out = spill(prints.join(linked, "node", "left").select(F.col("__rid").alias("rid"), F.col(id_col).alias("id"), F.coalesce("root", "node").alias("group")), "groups")
-    drop(prints, sets, cand)
+    out = spill(rows.join(linked, "node", "left").select(F.col("__rid").alias("rid"), F.col(id_col).alias("id"), F.coalesce("root", "node").alias("group")), "groups")
+    drop(alive, rows, sets, cand)
     return out
 
 
