@@ -2,7 +2,8 @@
 
 Hashed byte 3-grams and 4-grams of the lower-cased whole text (square roots of counts, unit length) feed linear support
 vector machines: one-versus-one between language families first, then one-versus-one between the languages of the
-chosen family. They are trained on the driver from a bounded sample: PER_LANG labelled texts of each language.
+chosen family. They are trained by one task from a bounded sample: PER_LANG labelled texts of each language; only the
+machines, one row of weights each, come to the driver.
 
 Cases: a text that is null or has no letter is ``und`` with score 0, as is every text when nothing was learned; one
 learned language is predicted with score 1; unknown language codes are families of their own; repeated rows get equal
@@ -147,7 +148,7 @@ def held_out(id_col: str) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> LanguageModel:
-    """Learns from rows that are not held out; at most ``per_lang`` texts of a language reach the driver, as features."""
+    """Learns from rows that are not held out; at most ``per_lang`` texts of a language reach the training task, as features."""
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,10 +170,21 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return LanguageModel()
     last = F.create_map(*[F.lit(x) for pair in sorted(limits.items()) for x in pair])
     sample = keyed.where(F.col("o") <= F.try_element_at(last, F.col("l"))).select("l", "o", "t")
-    got = sample.mapInArrow(sparse, "lang string, o long, at array<int>, val array<float>").toArrow()
-    got = got.sort_by([("lang", "ascending"), ("o", "ascending")])  # the same model whatever order rows arrive in
-    col = lambda c: [v.values.to_numpy() for v in got[c]]
-    return LanguageModel.fit(Sample(col("at"), col("val")), got["lang"].to_pylist())
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(batches, schema)
+        got = got.sort_by([("lang", "ascending"), ("o", "ascending")])  # the same model whatever order rows arrive in
+        col = lambda c: [v.values.to_numpy() for v in got[c]]
+        model = LanguageModel.fit(Sample(col("at"), col("val")), got["lang"].to_pylist())
+        duels = [] if model.families is None else [(None, model.families), *model.within.items()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([f for f, _ in duels], pa.string()), pa.array([d.classes for _, d in duels], pa.list_(pa.string())), pa.array([d.weights.tobytes() for _, d in duels], pa.binary())], ["family", "classes", "weights"]
+        )
+
+    schema = pa.schema([("lang", pa.string()), ("o", pa.int64()), ("at", pa.list_(pa.int32())), ("val", pa.list_(pa.float32()))])
+    features = sample.mapInArrow(sparse, "lang string, o long, at array<int>, val array<float>")
+    duels = {r["family"]: Duel(list(r["classes"]), np.frombuffer(r["weights"], np.float32).reshape(-1, DIM + 1)) for r in features.repartition(1).mapInArrow(train, "family string, classes array<string>, weights binary").collect()}
+    return LanguageModel(duels.pop(None, None), duels)
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text") -> DataFrame:

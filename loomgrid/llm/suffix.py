@@ -147,19 +147,24 @@ class Ranges:
         self.ways = np.where(ways > 1, ways, 0)
         self.first = len(self.border) + 1 + np.cumsum(self.ways) - self.ways
 
-    def of(self, lead: np.ndarray, key: np.ndarray) -> np.ndarray:
+    def of(self, lead: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        """The range of each suffix; ``shared`` are the bytes that all its partners have too."""
         rng = np.searchsorted(self.border, lead, side="right")
         if self.ways.any():
             i = np.maximum(rng - 1, 0)
             own = np.flatnonzero((rng > 0) & (self.border[i] == lead) & (self.ways[i] > 0))
-            rng[own] = self.first[i[own]] + (key[own].view(np.uint64) % self.ways[i[own]].astype(np.uint64)).astype(np.int64)
+            key = np.zeros(len(own), np.uint64)
+            for k in range(shared.shape[1]):
+                key = (key ^ shared[own, k]) * MIX
+                key ^= key >> np.uint64(29)
+            rng[own] = self.first[i[own]] + (key % self.ways[i[own]].astype(np.uint64)).astype(np.int64)
         return rng
 
 
-def make_run(mat: np.ndarray, length: np.ndarray, pos: np.ndarray, key: np.ndarray, tid: np.ndarray, ranges: Ranges, s: Shape) -> Iterator[tuple]:
+def make_run(mat: np.ndarray, length: np.ndarray, pos: np.ndarray, tid: np.ndarray, ranges: Ranges, s: Shape) -> Iterator[tuple]:
     """Sorts one run and cuts it into its ranges; equal rows become one entry with several members."""
     order = np.argsort(np.ascontiguousarray(mat).view(f"V{s.row}").ravel(), kind="stable")
-    rng = ranges.of(leading(mat), key)[order]
+    rng = ranges.of(leading(mat), mat[:, : s.prefix])[order]
     if ranges.ways.any():
         again = np.argsort(rng, kind="stable")
         order, rng = order[again], rng[again]
@@ -365,9 +370,9 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
     found = texts.select("tid", "text").mapInArrow(find_anchors, "h long, salt int, w int, tid binary, pos int, span int, lead long")
     of_hash = Window.partitionBy("h", "salt")
-    shared = found.withColumn("c", F.sum("w").over(of_hash)).where("c > 1").select("tid", "pos", "span", "h", "lead")
-    anchor = F.struct("pos", "span", "h", "lead")
-    per_text = spill(shared.groupBy("tid").agg(F.sort_array(F.collect_list(anchor)).alias("a")).select("tid", *[F.col(f"a.{c}").alias(c) for c in ("pos", "span", "h", "lead")]), "anchors")
+    shared = found.withColumn("c", F.sum("w").over(of_hash)).where("c > 1").select("tid", "pos", "span", "lead")
+    anchor = F.struct("pos", "span", "lead")
+    per_text = spill(shared.groupBy("tid").agg(F.sort_array(F.collect_list(anchor)).alias("a")).select("tid", *[F.col(f"a.{c}").alias(c) for c in ("pos", "span", "lead")]), "anchors")
 
     n_ranges = max(n_parts, -(-(per_text.agg(F.sum(F.size("pos"))).first()[0] or 0) * s.row // RANGE_BYTES))
     q = [k / n_ranges for k in range(1, n_ranges)]
@@ -389,10 +394,10 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
             text = _binary(b, 1)
             for i in range(b.num_rows):
                 t = as_bytes(text[i].as_py())
-                pos, span, key = (b.column(k)[i].values.to_numpy().astype(np.int64) for k in (2, 3, 4))
+                pos, span = (b.column(k)[i].values.to_numpy().astype(np.int64) for k in (2, 3))
                 for a in range(0, len(pos), step):
                     x = pos[a : a + step]
-                    held.append((rows_of(t, x, span[a : a + step], s), np.minimum(len(t) - x, s.length), x, key[a : a + step], np.full(len(x), np.void(b.column(0)[i].as_py()))))
+                    held.append((rows_of(t, x, span[a : a + step], s), np.minimum(len(t) - x, s.length), x, np.full(len(x), np.void(b.column(0)[i].as_py()))))
                     size += len(x) * s.row
                     if size >= RUN_BYTES:
                         yield from flush()
