@@ -88,6 +88,11 @@ def differing(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return pair.where(~F.col("__a").eqNullSafe(F.col("__b"))).select(*keys)
 
 
+def below(ids: DataFrame, bad: DataFrame, span: int) -> DataFrame:
+    """The ids in the ranges ``bad`` of ``span`` ids each."""
+    return null_safe(ids.withColumn("idx", F.floor(F.col("page_id") / F.lit(span)).cast("long")), bad, ["file_id", "idx"], "left_semi").drop("idx")
+
+
 def starts(rows: DataFrame, group: list[str], order: str, size: Column, name: str) -> DataFrame:
     """``rows`` plus ``name``, the sum of ``size`` over the rows of their group before them."""
     w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -134,17 +139,14 @@ def audit(expected: DataFrame, found: DataFrame, fanout: int = FANOUT, records_p
     depth = 1
     while fanout ** (depth + 1) < records_per_file:
         depth += 1
-    bad = differing(roots(ia, depth, fanout), roots(ib, depth, fanout), ["file_id"])
+    suspects = [spill(differing(roots(ia, depth, fanout), roots(ib, depth, fanout), ["file_id"]), "bad-files")]
     for d in range(depth, 0, -1):
         span = fanout**d
         wider = span * fanout
-        near = lambda ids, bad=bad, d=d, wider=wider: ids.join(
-            bad, "file_id", "left_semi") if d == depth else null_safe(ids.withColumn("idx", F.floor(F.col("page_id") / F.lit(wider)).cast("long")), bad, ["file_id", "idx"], "left_semi").drop("idx")
-        ia_, ib_ = near(ia), near(ib)
-        bad = differing(ranges(ia_, span, 2 + d, fanout), ranges(ib_, span, 2 + d, fanout), ["file_id", "idx"])
-    near = lambda ids: null_safe(ids.withColumn("idx", F.floor(F.col("page_id") / F.lit(fanout)).cast("long")), bad, ["file_id", "idx"], "left_semi")
-    bad = spill(differing(near(ia), near(ib), ["file_id", "page_id"]), "bad-ids")
-    ra, rb = laid_out(a, ia, bad), laid_out(b, ib, bad)
+        ia_, ib_ = ((x.join(suspects[-1], "file_id", "left_semi") if d == depth else below(x, suspects[-1], wider)) for x in (ia, ib))
+        suspects.append(spill(differing(ranges(ia_, span, 2 + d, fanout), ranges(ib_, span, 2 + d, fanout), ["file_id", "idx"]), "bad-ranges"))
+    bad = spill(differing(below(ia, suspects[-1], fanout), below(ib, suspects[-1], fanout), ["file_id", "page_id"]), "bad-ids")
+    ra, rb = spill(laid_out(a, ia, bad), "bad-a"), spill(laid_out(b, ib, bad), "bad-b")
     pair = null_safe(left_over(ra, rb, "expected"), left_over(rb, ra, "found"), ["file_id", "page_id", "k"], "full_outer")
     out = spill(
         pair.select(
@@ -152,7 +154,7 @@ def audit(expected: DataFrame, found: DataFrame, fanout: int = FANOUT, records_p
             "expected_hash", "found_hash",
         ), "audit",
     )
-    drop(a, b, ia, ib, bad)
+    drop(a, b, ia, ib, bad, ra, rb, *suspects)
     return out
 
 
