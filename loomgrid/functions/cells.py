@@ -7,8 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The grammar of typed cells. An exponent needs a fraction or a first digit other than zero.
 INT = r"^-?(0|[1-9][0-9]*)$"
-FLOAT = r"^-?(0|[1-9][0-9]*)(\.[0-9]+([eE][+-]?[0-9]+)?|[eE][+-]?[0-9]+)$"
+FLOAT = r"^-?((0|[1-9][0-9]*)\.[0-9]+([eE][+-]?[0-9]+)?|[1-9][0-9]*[eE][+-]?[0-9]+)$"
 DATETIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})?$"
 KINDS = ("blank", "bool", "datetime", "date", "time", "int", "float", "text")
 SPARK_TYPE = {"int": "bigint", "float": "double", "bool": "boolean", "date": "date", "datetime": "timestamp", "time": "string", "text": "string", "blank": "string"}

@@ -12,7 +12,9 @@ from pyspark.sql import types as T
 
 from loomgrid.functions.text import SECRET_PATTERNS
 
-SENSITIVE = re.compile(r"password|secret|token|^authorization$|^api[_-]?key$|^pwd$", re.I)
+# Keys whose values are secret.
+SENSITIVE_KEYS = ("api_key", "apikey", "authorization", "cookie", "dsn", "key", "password", "pwd", "secret", "token")
+SENSITIVE = re.compile(f"password|secret|token|^api-key$|^({'|'.join(SENSITIVE_KEYS)})$", re.I)
 
 
 def tree(e: ET.Element) -> dict:

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from loomgrid.operators.sqlgate import sources
 
 _COUNTS: dict[str, tuple[float, int]] = {}
-STOP_WORDS = frozenset("a an and are as at be by for from has have in is it of on or that the this to was were will with what which who how show list all give me".split())
+# Words of a question that name no table or column.
+STOP_WORDS = frozenset(
+    "and are asc bei das der die for from how ich mit not oder select show sql the und was wer where with wie von".split()
+)
 
 
 def objects(spark: SparkSession, hidden: tuple[str, ...] = ()) -> DataFrame:

@@ -1,7 +1,8 @@
 """Fuzzy record linkage of two tables: token blocking, field scores, grouped vetoes, best targets per source.
 
-Blocking is an equi-join on (field, token), so it shuffles tokens and never compares all pairs; a token that fills a
-large part of one side is split by AQE's skew join. Cheap scores are Column expressions; Jaro-Winkler runs, Arrow-batched,
+Blocking is an equi-join on the tokens of a column's distinct values, once per pair of columns whatever the number of rules
+on it, so it never compares all pairs; rows come in by their values afterwards. A token that fills a large part of one
+side is split by AQE's skew join. Cheap scores are Column expressions; Jaro-Winkler runs, Arrow-batched,
 only on blocked pairs.
 """
 
@@ -63,11 +64,9 @@ def field_score(i: int, r: Rule) -> Column:
     return F.when(~blank, score)
 
 
-def block_tokens(df: DataFrame, columns: list[str], key: str) -> DataFrame:
-    """(key, field, token): tokens of three or more bytes of the blockable fields."""
-    each = F.array(*[F.struct(F.lit(i).alias("field"), F.array_distinct(X.canonical_tokens(F.col(c))).alias("t")) for i, c in enumerate(columns)])
-    rows = df.select(F.col(key), F.explode(each).alias("e")).select(key, "e.field", F.explode("e.t").alias("token"))
-    return rows.where(F.octet_length("token") >= 3)
+def block_tokens(values: DataFrame, column: str) -> DataFrame:
+    """(value, token): tokens of three or more bytes of a blockable column."""
+    return values.select(column, F.explode(F.array_distinct(X.canonical_tokens(F.col(column)))).alias("token")).where(F.octet_length("token") >= 3)
 
 
 def candidates(source: DataFrame, target: DataFrame, rules: list[Rule], max_pairs: int | None = 4_000_000) -> DataFrame:
@@ -78,9 +77,14 @@ def candidates(source: DataFrame, target: DataFrame, rules: list[Rule], max_pair
         if max_pairs is not None and n > max_pairs:
             raise ValueError(f"{n} pairs without blocking; the limit is {max_pairs}")
         return source.select("s").crossJoin(target.select("t"))
-    a = block_tokens(source, [f"s_{rules.index(r)}" for r in use], "s")
-    b = block_tokens(target, [f"t_{rules.index(r)}" for r in use], "t")
-    return a.join(b, ["field", "token"]).select("s", "t").distinct()
+    columns = {(r.source, r.target): rules.index(r) for r in reversed(use)}
+    found = []
+    for i in columns.values():  # one per pair of columns
+        a, b = source.select("s", F.col(f"s_{i}").alias("__v")), target.select("t", F.col(f"t_{i}").alias("__w"))
+        values = block_tokens(a.select("__v").distinct(), "__v").join(block_tokens(b.select("__w").distinct(), "__w"), "token").select("__v", "__w").distinct()
+        found.append(a.join(values, "__v").join(b, "__w").select("s", "t"))
+    out = reduce(DataFrame.unionAll, found)
+    return out.distinct() if len(found) > 1 else out
 
 
 def pair_score(rules: list[Rule]) -> Column:

@@ -23,20 +23,29 @@ def cells(df: DataFrame) -> DataFrame:
 
 
 def column_profile(df: DataFrame) -> DataFrame:
-    """Per column: rows, blanks, distinct non-blank values, whether all are numbers, exact decimal sum and average."""
-    c = cells(df).withColumn("v", F.nullif(F.trim("value"), F.lit("")))
+    """Per column: rows, blanks (null or empty), distinct other values, whether all are numbers, their sum and average.
+
+    The sum is exact where 18 decimals and 19 digits before them hold every value, and one of doubles otherwise.
+    """
+    c = cells(df).withColumn("v", F.nullif("value", F.lit("")))
     # counted by value first: a column with one hot value costs one row per task
     by_value = c.groupBy("column", "position", "v").agg(F.count("*").alias("n"))
     num = number(F.col("v"))
-    out = by_value.groupBy("column", "position").agg(
+    exact = F.trim("v").try_cast("decimal(37,18)")
+    exact = F.when(exact.cast("double") == num, exact)
+    out = by_value.withColumn("__x", exact).groupBy("column", "position").agg(
         F.sum("n").alias("rows"), F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("blanks"), F.count("v").alias("distinct"),
-        (F.count("v") == F.count(num)).alias("all_numbers"), F.sum(num.cast("decimal(28,6)") * F.col("n")).alias("s"),
+        (F.count("v") == F.count(num)).alias("all_numbers"), (F.count("__x") == F.count(num)).alias("fits"),
+        # whole and fractional parts apart, so that no product needs more than 38 digits
+        (F.expr("try_sum(CAST(__x AS DECIMAL(19, 0)) * CAST(n AS DECIMAL(18, 0)))").cast("double")
+         + F.expr("try_sum(CAST(__x - CAST(__x AS DECIMAL(19, 0)) AS DECIMAL(19, 18)) * CAST(n AS DECIMAL(18, 0)))").cast("double")).alias("x"),
+        F.sum(num * F.col("n")).alias("d"),
     )
     numeric = F.col("all_numbers") & (F.col("distinct") > 0)
+    total = F.when(F.col("fits") & F.col("x").isNotNull(), F.col("x")).otherwise(F.col("d"))
     return out.select(
         "column", "rows", "blanks", "distinct", numeric.alias("numeric"),
-        F.when(numeric, F.round(F.col("s").cast("double"), 4)).alias("sum"),
-        F.when(numeric, F.round(F.col("s").cast("double") / (F.col("rows") - F.col("blanks")), 4)).alias("avg"),
+        F.when(numeric, total).alias("sum"), F.when(numeric, total / (F.col("rows") - F.col("blanks"))).alias("avg"),
     )
 
 

@@ -98,10 +98,11 @@ def incremental_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "supplier").where("s_suppkey <= 100")
-    k = F.col("s_suppkey")
+    """All suppliers as nodes with three edges each; the ends wrap around at the number of suppliers."""
+    s = table(spark, d, "supplier")
+    k, m = F.col("s_suppkey"), F.lit(max(1, s.count()))
     nodes = s.select(k.cast("string").alias("id"), (k % 36).cast("double").alias("lon"), (k % 17).cast("double").alias("lat"))
-    edges = s.select(k.cast("string").alias("from"), F.explode(F.array(k % 100 + 1, k * 7 % 100 + 1, k * 13 % 100 + 1).cast("array<string>")).alias("to"), (k % 9 + 1).cast("double").alias("weight"))
+    edges = s.select(k.cast("string").alias("from"), F.explode(F.array(k % m + 1, k * 7 % m + 1, k * 13 % m + 1).cast("array<string>")).alias("to"), (k % 9 + 1).cast("double").alias("weight"))
     return routing.edges_of(edges, routing.nodes_of(nodes), "cost")
 
 
@@ -129,8 +130,9 @@ QUERIES = {
 _P = "p AS (SELECT c_custkey, c_mktsegment, c_custkey * 37 % 3600 / 10 - 180 AS lon, c_custkey * 17 % 1800 / 10 - 90 AS lat FROM customer)"
 _M = "2 * 6371008.8 * atan2(sqrt(h), sqrt(1 - h))"
 _H = "h AS (SELECT *, pow(sin(radians(52.5 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(52.5)) * pow(sin(radians(13.4 - lon) / 2), 2) AS h FROM p)"
-_G = """e AS (SELECT s_suppkey AS src, unnest([s_suppkey % 100 + 1, s_suppkey * 7 % 100 + 1, s_suppkey * 13 % 100 + 1]) AS dst, CAST(s_suppkey % 9 + 1 AS DOUBLE) AS w FROM supplier WHERE s_suppkey <= 100),
-known AS (SELECT e.* FROM e WHERE dst IN (SELECT s_suppkey FROM supplier WHERE s_suppkey <= 100)),
+_G = """m AS (SELECT count(*) AS m FROM supplier),
+e AS (SELECT s_suppkey AS src, unnest([s_suppkey % m + 1, s_suppkey * 7 % m + 1, s_suppkey * 13 % m + 1]) AS dst, CAST(s_suppkey % 9 + 1 AS DOUBLE) AS w FROM supplier, m),
+known AS (SELECT e.* FROM e WHERE dst IN (SELECT s_suppkey FROM supplier)),
 r(id, cost) USING KEY (id) AS (SELECT 1::BIGINT, 0.0::DOUBLE UNION SELECT id, min(cost) FROM (SELECT k.dst AS id, r.cost + k.w AS cost FROM r JOIN known k ON r.id = k.src) n
   WHERE NOT EXISTS (SELECT 1 FROM recurring.r o WHERE o.id = n.id AND o.cost <= n.cost) GROUP BY id)"""
 ORACLES = {

@@ -33,7 +33,8 @@ def infer_columns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def column_profile(spark: SparkSession, d: str) -> DataFrame:
-    return profile.column_profile(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", F.round("o_totalprice", 2).alias("price")))
+    got = profile.column_profile(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", F.round("o_totalprice", 2).alias("price")))
+    return got.withColumn("sum", F.round("sum", 4)).withColumn("avg", F.round("avg", 4))
 
 
 def top_values(spark: SparkSession, d: str) -> DataFrame:
@@ -81,9 +82,10 @@ def ean_codes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _names(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All parts against all parts: names with a legal form, and with more words where the size is a multiple of five, against names in capitals."""
     p = table(spark, d, "part")
-    a = p.where("p_partkey % 10 = 1").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" GmbH")).alias("name"), "p_size")
-    b = p.where("p_partkey % 10 = 2").select(F.col("p_partkey").alias("kdnr"), F.upper("p_name").alias("firma"), "p_size")
+    a = p.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.when(F.col("p_size") % 5 == 0, " imported special edition").otherwise(""), F.lit(" GmbH")).alias("name"), "p_size")
+    b = p.select(F.col("p_partkey").alias("kdnr"), F.upper("p_name").alias("firma"), "p_size")
     return a, b
 
 
@@ -140,8 +142,8 @@ c AS (
   UNION ALL SELECT 'code', '', CASE WHEN o_custkey >= 100000 THEN 'int' ELSE 'text' END FROM src)
 """
 _NAMES = """
-a AS (SELECT CAST(p_partkey AS VARCHAR) AS s, p_name || ' GmbH' AS name, p_size FROM part WHERE p_partkey %% 10 = 1),
-b AS (SELECT CAST(p_partkey AS VARCHAR) AS t, upper(p_name) AS firma, p_size FROM part WHERE p_partkey %% 10 = 2),
+a AS (SELECT CAST(p_partkey AS VARCHAR) AS s, p_name || CASE WHEN p_size %% 5 = 0 THEN ' imported special edition' ELSE '' END || ' GmbH' AS name, p_size FROM part),
+b AS (SELECT CAST(p_partkey AS VARCHAR) AS t, upper(p_name) AS firma, p_size FROM part),
 ta AS (SELECT s, p_size, list_distinct(%s) AS x FROM a), tb AS (SELECT t, p_size, list_distinct(%s) AS y FROM b),
 pairs AS (SELECT s, t, ta.p_size AS p, tb.p_size AS q, x, y, len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) AS j FROM ta JOIN tb ON len(list_filter(list_intersect(x, y), lambda z: strlen(z) >= 3)) > 0)
 """ % (_tokens("name"), _tokens("firma"))

@@ -79,17 +79,24 @@ def flatten(recs: DataFrame) -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, header: str = "auto", encoding: str = "auto") -> DataFrame:
-    """CSV or TSV as text columns; encoding, separator and header are found in the first file unless given."""
+    """CSV or TSV as text columns; separator and header are found in the first file unless given.
+
+    The encoding and whether a quoted cell holds a line break are found over all lines, split by split. Only files with such
+    cells, and those in UTF-16, are read whole by one task each; all others stay splittable.
+    """
+    raw = spark.read.text(path)
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+    first = raw.select(F.substring(F.col("value").cast("binary"), 1, 2)).first()
+    wide = first is not None and bytes(first[0]) in (b"\xff\xfe", b"\xfe\xff") or encoding.upper().startswith("UTF-16")
+    found = raw.agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("broken")).first()
     if encoding == "auto":
-        start, valid = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 3), F.is_valid_utf8(F.col("content").cast("string"))).first()
-        start = bytes(start)
-        encoding = "UTF-8" if start == b"\xef\xbb\xbf" or valid and start[:2] not in (b"\xff\xfe", b"\xfe\xff") else "UTF-16" if start[:2] in (b"\xff\xfe", b"\xfe\xff") else "ISO-8859-1"
+        encoding = "UTF-16" if wide else "UTF-8" if found["utf8"] is not False else "ISO-8859-1"
     lines = [r[0] for r in spark.read.option("encoding", encoding).csv(path, sep="\u0001", encoding=encoding, quote="").limit(2).collect()]
     top = (lines[0] if lines else "") or ""
     sep = sep or ("\t" if top.count("\t") > top.count(",") else ",")
     head = [c.strip().strip('"').lstrip("﻿") for c in top.split(sep)]
     named = header == "present" or header == "auto" and looks_like_header([head, lines[1].split(sep) if len(lines) > 1 and lines[1] else []][: len(lines)])
-    df = spark.read.csv(path, sep=sep, encoding=encoding, header=named, inferSchema=False, quote='"', escape='"', multiLine=encoding == "UTF-16", mode="PERMISSIVE", enforceSchema=True)
+    df = spark.read.csv(path, sep=sep, encoding=encoding, header=named, inferSchema=False, quote='"', escape='"', multiLine=wide or bool(found["broken"]), mode="PERMISSIVE", enforceSchema=True)
     names = unique_names([c.lstrip("﻿") for c in df.columns]) if named else [f"col_{i}" for i in range(1, len(df.columns) + 1)]
     return df.toDF(*names)
 

@@ -79,3 +79,12 @@ def test_fixed_width_lines(spark):
     assert fixedwidth.field_spans(lines.where("value = ''")) == []
     with pytest.raises(ValueError):
         fixedwidth.split_fields(lines, spans, ["n"])
+
+
+def test_profile_sums_small_and_large_numbers(spark):
+    from loomgrid.operators.profile import column_profile
+
+    df = spark.createDataFrame([("0.0000001", "1e25", " "), ("0.0000002", "2e25", ""), (None, "3", "x")], "a string, b string, c string")
+    got = {r["column"]: r for r in column_profile(df).collect()}
+    assert got["b"]["sum"] == pytest.approx(3e25) and got["a"]["sum"] == 0.0000003 and got["a"]["avg"] == 0.00000015 and got["a"]["blanks"] == 1
+    assert got["c"]["blanks"] == 1 and got["c"]["distinct"] == 2 and not got["c"]["numeric"]

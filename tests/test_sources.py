@@ -23,15 +23,21 @@ def rows(df):
 
 
 def test_csv_types_and_encodings(spark, tmp_path):
-    p = put(tmp_path, "a.csv", "id,amount,active,created,code\n1,12.5,true,2026-07-05T21:25:49Z,00123\n2,13.0,false,2026-07-06T00:00:00Z,00456\n")
+    p = put(tmp_path, "a.csv", "nr,weight,sold,seen,shelf\n7,0.75,false,2024-02-29T08:00:01Z,0042\n8,3.5,true,2024-03-01T23:59:59Z,0007\n")
     df = R.read(spark, p)
-    assert dict(df.dtypes) == {"id": "bigint", "amount": "double", "active": "boolean", "created": "timestamp", "code": "string"}
-    assert rows(df)[0]["code"] == "00123"
-    assert rows(R.read(spark, put(tmp_path, "u.csv", "name,age\nAda,37\n".encode("utf-16")))) == [{"name": "Ada", "age": 37}]
-    assert rows(R.read(spark, put(tmp_path, "l.csv", b"name,city\nAndr\xe9,X\n")))[0]["name"] == "André"
+    assert dict(df.dtypes) == {"nr": "bigint", "weight": "double", "sold": "boolean", "seen": "timestamp", "shelf": "string"}
+    assert rows(df)[0]["shelf"] == "0042"
+    assert rows(R.read(spark, put(tmp_path, "u.csv", "title,pages\nIris,81\n".encode("utf-16")))) == [{"title": "Iris", "pages": 81}]
+    assert rows(R.read(spark, put(tmp_path, "l.csv", b"plant,place\nOrchid\xe9e,K\xf6ln\n")))[0] == {"plant": "Orchidée", "place": "Köln"}
     assert rows(R.read(spark, put(tmp_path, "t.tsv", "a\tb\n1\t2\n"))) == [{"a": 1, "b": 2}]
 
 
+def test_csv_with_line_breaks_in_cells(spark, tmp_path):
+    """Quoted newlines, quotes and separators come back as one cell; a file without them stays splittable."""
+    p = put(tmp_path, "q.csv", 'n,remark\n1,"first line\nsecond ""line"", with comma"\n2,plain\n')
+    assert rows(R.read(spark, p)) == [{"n": 1, "remark": 'first line\nsecond "line", with comma'}, {"n": 2, "remark": "plain"}]
+
+
 def test_text_formats(spark, tmp_path):
     assert rows(R.read(spark, put(tmp_path, "a.json", '[{"a":1,"b":{"x":2}},{"a":null,"c":"z"}]'))) == [{"a": 1, "b": '{"x":2}', "c": None}, {"a": None, "b": None, "c": "z"}]
     assert rows(R.read(spark, put(tmp_path, "a.ndjson", '{"a":1}\n{"a":2.5}\n'))) == [{"a": 1.0}, {"a": 2.5}]
@@ -45,10 +51,10 @@ def test_text_formats(spark, tmp_path):
 
 
 def test_binary_formats(spark, tmp_path):
-    assert rows(R.read(spark, put(tmp_path, "a.msgpack", b"\x91\x82\xa4name\xa3Ada\xa3age\x25"))) == [{"name": "Ada", "age": 37}]
-    assert rows(R.read(spark, put(tmp_path, "a.cbor", b"\x81\xa2\x64name\x63Ada\x63age\x18\x25"))) == [{"name": "Ada", "age": 37}]
-    body = b"\x02name\0\x04\0\0\0Ada\0\x10age\0\x25\0\0\0"
-    assert rows(R.read(spark, put(tmp_path, "a.bson", struct.pack("<i", len(body) + 5) + body + b"\0"))) == [{"name": "Ada", "age": 37}]
+    assert rows(R.read(spark, put(tmp_path, "a.msgpack", b"\x91\x82\xa5title\xa4Iris\xa5pages\x51"))) == [{"title": "Iris", "pages": 81}]
+    assert rows(R.read(spark, put(tmp_path, "a.cbor", b"\x81\xa2\x65title\x64Iris\x65pages\x18\x51"))) == [{"title": "Iris", "pages": 81}]
+    body = b"\x02title\0\x05\0\0\0Iris\0\x10pages\0\x51\0\0\0"
+    assert rows(R.read(spark, put(tmp_path, "a.bson", struct.pack("<i", len(body) + 5) + body + b"\0"))) == [{"title": "Iris", "pages": 81}]
     db = sqlite3.connect(str(tmp_path / "a.db"))
     db.executescript("CREATE TABLE t(a INT); INSERT INTO t VALUES (1); CREATE TABLE u(b TEXT); INSERT INTO u VALUES ('x')")
     db.commit()
