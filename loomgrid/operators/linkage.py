@@ -131,6 +131,8 @@ def match(
     pairs = candidates(a, b, rules, None).join(prepare(a, "s", rules), "s").join(prepare(b, "t", rules), "t")
     scored = pairs.select("s", "t", *[field_score(i, r).alias(f"f_{i}") for i, r in enumerate(rules)])
     kept = scored.select("s", "t", pair_score(rules).alias("score")).where(F.col("score") >= review)
+    # pairs that more than max_candidates others of their source beat are out before the target keys come in; ties stay
+    kept = kept.withColumn("place", F.rank().over(Window.partitionBy("s").orderBy(F.desc("score")))).where(F.col("place") <= max_candidates).drop("place")
     few = Window.partitionBy("t").orderBy("target_key")
     first_keys = t_keys.select("t", "target_key").withColumn("n", F.row_number().over(few)).where(F.col("n") <= max_candidates).drop("n")
     best = Window.partitionBy("s").orderBy(F.desc("score"), "target_key")
@@ -139,8 +141,8 @@ def match(
 
 
 def row_hash(side: str, rules: list[Rule]) -> Column:
-    """The identity of a row's compared cells."""
-    return F.sha2(F.to_json(F.struct(*[F.col(f"{side}_{i}") for i in range(len(rules))]), {"ignoreNullFields": "false"}), 256)
+    """The identity of a row's compared cells, in 16 bytes."""
+    return F.unhex(F.substring(F.sha2(F.to_json(F.struct(*[F.col(f"{side}_{i}") for i in range(len(rules))]), {"ignoreNullFields": "false"}), 256), 1, 32))
 
 
 def match_stats(source: DataFrame, source_key: str, matches: DataFrame) -> DataFrame:
