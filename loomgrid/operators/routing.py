@@ -1,18 +1,17 @@
 """Shortest paths and reachability on routing graphs by rounds of relaxation over DataFrames.
 
 Only the nodes whose cost fell in the last round are extended in the next, so a round costs what its frontier touches.
-Each round's state is written with checkpoint() (or to a local folder where none is set), which cuts the lineage and
+Each round's state is written with checkpoint() (into the shared folder), which cuts the lineage and
 survives lost executors.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.operators.geo import EARTH_RADIUS_M, haversine_m, hull
+from loomgrid.session import shared_dir
 
 __all__ = ["EARTH_RADIUS_M", "edges_of", "hull", "nearest_node", "nodes_of", "path", "reachable", "shortest"]
 
@@ -50,7 +49,7 @@ def edges_of(df: DataFrame, nodes: DataFrame, cost_field: str = "cost", undirect
 def _cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
 
 

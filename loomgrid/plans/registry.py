@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomgrid.plans import formats, relational, spatial, upkeep, workbench
+from loomgrid.plans import formats, relational, roundtrips, spatial, upkeep, workbench
 
-MODULES = [relational, workbench, spatial, formats, upkeep]
+MODULES = [relational, workbench, spatial, formats, upkeep, roundtrips]
 
 
 def queries() -> dict:
