@@ -160,3 +160,46 @@ def log_level(c: Column) -> Column:
         hit = F.lower(F.coalesce(c, F.lit(""))).rlike(pattern)
         out = F.when(hit, level) if out is None else out.when(hit, level)
     return out.otherwise("default")
+
+
+def score_percent(c: Column) -> Column:
+    """A score from 0 to 1 as whole percent, halves up."""
+    return F.floor(c * 100 + 0.5).cast("long")
+
+
+def parse_share(c: Column, default: float = 0.0) -> Column:
+    """A share from 0 to 1: a fraction as it is, above 1 as percent; the default where the text is blank or no number."""
+    v = F.coalesce(F.nullif(F.trim(c), F.lit("")).try_cast("double"), F.lit(float(default)))
+    return F.least(F.greatest(F.when(v > 1, v / 100).otherwise(v), F.lit(0.0)), F.lit(1.0))
+
+
+def byte_size(c: Column) -> Column:
+    """A number of bytes as people read it: 512 B, 1.5 KiB."""
+    n = c.cast("long")
+    out = F.when(n.isNull() | (n <= 0), "0 B").when(n < 1024, F.format_string("%d B", n))
+    for k, unit in enumerate("KMGTP", 1):
+        out = out.when(n < 1024 ** (k + 1), F.format_string(f"%.1f {unit}iB", F.bround(n / F.lit(1024.0**k), 1)))
+    return out.otherwise(F.format_string("%.1f EiB", F.bround(n / F.lit(1024.0**6), 1)))
+
+
+def percent_of(used: Column, limit: Column) -> Column:
+    """Whole percent used of a limit, from 0 to 100; 0 without a limit."""
+    part = F.least(F.greatest(F.floor(F.try_divide(used * 100, limit)), F.lit(0)), F.lit(100)).cast("long")
+    return F.when(limit > 0, part).otherwise(F.lit(0).cast("long"))
+
+
+def trimmed(c: Column, most: int) -> Column:
+    """Text without white space around it, marked where it was cut."""
+    c = F.trim(c)
+    return F.when(F.length(c) <= most, c).otherwise(F.concat(F.substring(c, 1, most), F.lit("\n[truncated]")))
+
+
+def code_fence_body(c: Column) -> Column:
+    """The body of a text that is one fenced block of Markdown, else the text without white space around it."""
+    c = F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.when(c.rlike(r"(?s)^```[^\n]*\n.*\n[ \t]*```[^\n]*$"), F.regexp_replace(F.regexp_extract(c, r"(?s)^```[^\n]*\n(.*)\n[ \t]*```[^\n]*$", 1), r"^\s+|\s+$", "")).otherwise(c)
+
+
+def has_sql_word(c: Column, word: str) -> Column:
+    """Whether a run of letters of the SQL text is the word, whatever the case."""
+    return F.array_contains(F.split(F.upper(c), "[^A-Z]+"), word.upper())

@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.operators.sqlgate import sources
+from loomgrid.operators.sqlgate import classify, quote, sources, target_type
 
 _COUNTS: dict[str, tuple[float, int]] = {}
 # Words of a question that name no table or column.
@@ -37,6 +37,38 @@ def structure(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(spark.table(name).schema.fields)], "position int, name string, type string, nullable boolean")
 
 
+def create_table(spark: SparkSession, name: str, columns: dict[str, str]) -> None:
+    """A table of columns by name and type of any dialect; the column id, whole numbers, is always there and comes first."""
+    rest = {n: t for n, t in columns.items() if n.lower() != "id"}
+    cols = ", ".join([f"{quote('id')} BIGINT", *(f"{_one(n)} {target_type(t, 'spark')}" for n, t in rest.items())])
+    spark.sql(f"CREATE TABLE {quote(name)} ({cols}) USING parquet")
+
+
+def drop_table(spark: SparkSession, name: str) -> None:
+    spark.sql(f"DROP TABLE {quote(name)}")
+    _COUNTS.pop(name, None)
+
+
+def create_view(spark: SparkSession, name: str, sql: str, replace: bool = False) -> None:
+    """A stored view of one read query."""
+    if classify(sql) != "read_query":
+        raise PermissionError("a view is one read query")
+    spark.sql(f"CREATE {'OR REPLACE ' if replace else ''}VIEW {quote(name)} AS {sql.strip().rstrip(';')}")
+
+
+def view_script(spark: SparkSession, name: str, alter: bool = False) -> str:
+    """The statement that makes a stored view, or that changes it."""
+    rows = {r[0]: r[1] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {quote(name)}").collect()}
+    if rows.get("Type") != "VIEW":
+        raise ValueError(f"{name} is no stored view")
+    return f"{'ALTER' if alter else 'CREATE'} VIEW {quote(name)} AS {rows['View Text']}"
+
+
+def _one(name: str) -> str:
+    """One name, quoted whole, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def dependencies(spark: SparkSession, views: dict[str, str]) -> DataFrame:
     """Edges (object, uses) of view definitions."""
     return spark.createDataFrame(sorted((v, s) for v, sql in views.items() for s in sources(spark, sql)), "object string, uses string")

@@ -22,6 +22,8 @@ LEAST_POINTS = {"Point": 1, "MultiPoint": 1, "LineString": 2, "MultiLineString":
 LON_NAMES, LAT_NAMES = ("lon", "lng", "long", "longitude", "x"), ("lat", "latitude", "y")
 _NUM = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
 _PAIR = rf"\[\s*({_NUM})\s*,\s*({_NUM})"
+_INNERMOST = r"\[[^\[\]]*\]"
+_BOX = r'"bbox"\s*:\s*\[[^\[\]]*\]'
 
 
 def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
@@ -39,12 +41,24 @@ def geometry_type(g: Column) -> Column:
     return F.when(t.isin(*TYPES), t)
 
 
+def coordinates(g: Column) -> Column:
+    """The text that holds a geometry's positions, without its bbox member; null where the text is no JSON object."""
+    own = F.get_json_object(g, "$.coordinates")
+    # members of a collection may nest, so its whole text is read but for the boxes in it
+    members = F.when(F.get_json_object(g, "$.geometries").isNotNull(), F.regexp_replace(g, _BOX, '"bbox":null'))
+    return F.coalesce(own, members)
+
+
 def xs(g: Column) -> Column:
-    return F.transform(F.regexp_extract_all(g, F.lit(_PAIR), 1), lambda v: v.cast("double"))
+    return _numbers(coordinates(g), 1)
 
 
 def ys(g: Column) -> Column:
-    return F.transform(F.regexp_extract_all(g, F.lit(_PAIR), 2), lambda v: v.cast("double"))
+    return _numbers(coordinates(g), 2)
+
+
+def _numbers(text: Column, which: int) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(_PAIR), which), lambda v: v.cast("double"))
 
 
 def bbox(g: Column) -> Column:
@@ -52,6 +66,14 @@ def bbox(g: Column) -> Column:
     return F.struct(F.array_min(xs(g)).alias("min_x"), F.array_min(ys(g)).alias("min_y"), F.array_max(xs(g)).alias("max_x"), F.array_max(ys(g)).alias("max_y"))
 
 
+def view_bounds(df: DataFrame, geometry: str, pad: float = 0.01) -> DataFrame:
+    """One row: the box a map opens on; an axis without extent is widened by ``pad`` on both sides."""
+    b = bbox(F.col(geometry))
+    out = df.agg(*[f(b[c]).alias(c) for c, f in (("min_x", F.min), ("min_y", F.min), ("max_x", F.max), ("max_y", F.max))])
+    flat = lambda a: F.when(F.col(f"min_{a}") == F.col(f"max_{a}"), pad).otherwise(0.0)
+    return out.select(*[(F.col(f"{end}_{a}") + sign * flat(a)).alias(f"{end}_{a}") for end, sign in (("min", -1), ("max", 1)) for a in "xy"])
+
+
 def meets_bbox(g: Column, box: tuple[float, float, float, float]) -> Column:
     b = bbox(g)
     return (b.min_x <= box[2]) & (b.max_x >= box[0]) & (b.min_y <= box[3]) & (b.max_y >= box[1])
@@ -65,12 +87,13 @@ def parse_bbox(text: str) -> tuple[float, float, float, float]:
 
 
 def is_valid(g: Column) -> Column:
-    """A known type, enough points of it, and every point within longitude and latitude limits."""
+    """A known type, enough points of it, every position a pair of numbers within longitude and latitude limits."""
     t = geometry_type(g)
     need = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in LEAST_POINTS.items() for x in kv]), t), F.lit(1))
     ok_x = F.forall(xs(g), lambda v: (v >= -180) & (v <= 180))
     ok_y = F.forall(ys(g), lambda v: (v >= -90) & (v <= 90))
-    return F.coalesce(t.isNotNull() & (F.size(xs(g)) >= need) & ok_x & ok_y, F.lit(False))
+    whole = F.size(F.regexp_extract_all(coordinates(g), F.lit(_INNERMOST), 0)) == F.size(xs(g))
+    return F.coalesce(t.isNotNull() & whole & (F.size(xs(g)) >= need) & ok_x & ok_y, F.lit(False))
 
 
 def quality_report(df: DataFrame, geometry: str) -> DataFrame:
@@ -169,6 +192,14 @@ def thin(line: list, tolerance: float, least: int) -> list:
     return out if len(out) >= least else line
 
 
+def thin_ring(ring: list, tolerance: float) -> list:
+    """A ring thinned as the open line before its closing point and closed again; unchanged below four open points."""
+    closed = len(ring) > 1 and ring[0][:2] == ring[-1][:2]
+    line = ring[:-1] if closed else ring
+    out = thin(line, tolerance, 4)
+    return ring if len(out) == len(line) else [*out, out[0]]
+
+
 def simplified(g: dict, tolerance: float) -> dict:
     c = g.get("coordinates")
     kind = g.get("type")
@@ -177,9 +208,9 @@ def simplified(g: dict, tolerance: float) -> dict:
     elif kind == "MultiLineString":
         c = [thin(x, tolerance, 2) for x in c]
     elif kind == "Polygon":
-        c = [thin(x, tolerance, 4) for x in c]
+        c = [thin_ring(x, tolerance) for x in c]
     elif kind == "MultiPolygon":
-        c = [[thin(x, tolerance, 4) for x in p] for p in c]
+        c = [[thin_ring(x, tolerance) for x in p] for p in c]
     else:
         return g
     return {**g, "coordinates": c}

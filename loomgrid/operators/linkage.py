@@ -114,8 +114,16 @@ def resolve_column(df: DataFrame, name: str) -> str:
 def match(
     source: DataFrame, target: DataFrame, source_key: str, target_key: str, rules: list[Rule],
     auto: float = 0.9, review: float = 0.6, max_candidates: int = 3, max_pairs: int | None = 4_000_000,
+    max_comparisons: int | None = None, max_rows: int | None = None,
 ) -> DataFrame:
-    """source_key, target_key, score, status: up to ``max_candidates`` targets of each source, best first (ties by target key)."""
+    """source_key, target_key, score, status: up to ``max_candidates`` targets of each source, best first (ties by target key).
+
+    ``max_rows`` refuses larger tables, ``max_comparisons`` a blocking that leaves more pairs of distinct rows. Both read
+    no further than their limit, and neither drops anything: a match over them is an error.
+    """
+    for side, df in (("source", source), ("target", target)):
+        if max_rows is not None and df.limit(max_rows + 1).count() > max_rows:
+            raise ValueError(f"the {side} has over {max_rows} rows")
     if bad := [r.method for r in rules if r.method not in METHODS]:
         raise ValueError(f"unknown methods {bad}")
     auto = max(auto, review)
@@ -128,7 +136,10 @@ def match(
     s_keys, t_keys = s_keys.withColumn("s", row_hash("s", rules)), t_keys.withColumn("t", row_hash("t", rules))
     a = s_keys.drop("source_key").dropDuplicates(["s"])
     b = t_keys.drop("target_key").dropDuplicates(["t"])
-    pairs = candidates(a, b, rules, None).join(prepare(a, "s", rules), "s").join(prepare(b, "t", rules), "t")
+    blocked = candidates(a, b, rules, None)
+    if max_comparisons is not None and blocked.limit(max_comparisons + 1).count() > max_comparisons:
+        raise ValueError(f"blocking leaves over {max_comparisons} comparisons; narrow the rules or the tables")
+    pairs = blocked.join(prepare(a, "s", rules), "s").join(prepare(b, "t", rules), "t")
     scored = pairs.select("s", "t", *[field_score(i, r).alias(f"f_{i}") for i, r in enumerate(rules)])
     kept = scored.select("s", "t", pair_score(rules).alias("score")).where(F.col("score") >= review)
     # pairs that more than max_candidates others of their source beat are out before the target keys come in; ties stay

@@ -49,6 +49,24 @@ def column_profile(df: DataFrame) -> DataFrame:
     )
 
 
+def column_ranges(df: DataFrame, examples: int = 5) -> DataFrame:
+    """Per column: rows, non_empty, distinct texts (a blank is one, null and empty alike), min, max and avg of its numbers, examples.
+
+    A cell of white space only is blank. The examples are the first non-blank texts in order, since rows have none.
+    """
+    by_value = cells(df).withColumn("v", F.coalesce("value", F.lit(""))).groupBy("column", "position", "v").agg(F.count("*").alias("n"))
+    there = F.trim("v") != ""
+    num = F.when(there, number(F.col("v")))
+    out = by_value.groupBy("column", "position").agg(
+        F.sum("n").alias("rows"), F.sum(F.when(there, F.col("n")).otherwise(0)).alias("non_empty"), F.count("*").alias("distinct"),
+        F.min(num).alias("min"), F.max(num).alias("max"), (F.sum(num * F.col("n")) / F.sum(F.when(num.isNotNull(), F.col("n")))).alias("avg"),
+    )
+    w = Window.partitionBy("column").orderBy("v")  # pruned per task before the shuffle
+    few = by_value.where(there).withColumn("k", F.row_number().over(w)).where(F.col("k") <= examples)
+    few = few.groupBy("column").agg(F.array_sort(F.collect_list("v")).alias("examples"))
+    return out.join(few, "column", "left").select("column", "rows", "non_empty", "distinct", "min", "max", "avg", F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
+
+
 def top_values(df: DataFrame, k: int = 8) -> DataFrame:
     """The k most frequent non-blank values of each column; ties by value."""
     c = cells(df).where(F.trim("value") != "").groupBy("column", "value").agg(F.count("*").alias("n"))
@@ -97,6 +115,13 @@ def log_lines(df: DataFrame, time: str | None, level: str | None, message: str |
     return df.select(lv.alias("level"), F.concat_ws(" ", *lead, F.concat(F.lit("["), F.upper(lv), F.lit("]")), *msg, *parts).alias("text"))
 
 
+def log_view(df: DataFrame, order: str, text: str = "", last: int = 1000) -> DataFrame:
+    """level, text: of the ``last`` rows by ``order``, those whose line holds ``text``, whatever the case. Roles go by column names."""
+    lines = df.orderBy(F.desc(order)).limit(last)
+    time, level, message = log_roles(df.columns)
+    return log_lines(lines, time, level, message).where(F.contains(F.lower("text"), F.lit(text.lower())))
+
+
 def log_roles(columns: list[str]) -> tuple[str | None, str | None, str | None]:
     """Time, level and message columns by their names; each name has one role."""
     import re

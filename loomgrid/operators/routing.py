@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.operators.geo import EARTH_RADIUS_M, haversine_m, hull
+from loomgrid.operators.geo import EARTH_RADIUS_M, convex_hulls, haversine_m, hull, point_json
 from loomgrid.session import shared_dir
 
-__all__ = ["EARTH_RADIUS_M", "edges_of", "hull", "nearest_node", "nodes_of", "path", "reachable", "shortest"]
+__all__ = ["EARTH_RADIUS_M", "edges_of", "hull", "nearest_node", "nodes_of", "path", "reachable", "reachable_features", "route", "shortest"]
 
 FROM, TO = ("from_id", "from", "source", "u"), ("to_id", "to", "target", "v")
 COST, DISTANCE = ("cost", "weight", "duration"), ("distance", "length", "meters")
@@ -33,17 +33,20 @@ def nodes_of(df: DataFrame) -> DataFrame:
 
 
 def edges_of(df: DataFrame, nodes: DataFrame, cost_field: str = "cost", undirected: bool = False) -> DataFrame:
-    """src, dst, cost: edges between known nodes. Cost and distance fall back to the great-circle distance, other fields must be there."""
+    """src, dst, cost, meters: edges between known nodes. Cost and distance fall back to the great-circle distance, other fields must be there.
+
+    Of edges between the same two nodes the cheapest stays, then the shortest.
+    """
     named = {"cost": COST, "distance": DISTANCE}.get(cost_field)
     cost = first_of(df, named, "double") if named else F.get_json_object("properties", f"$.{cost_field}").try_cast("double")
-    e = df.select(first_of(df, FROM, "string").alias("src"), first_of(df, TO, "string").alias("dst"), cost.alias("own"))
+    e = df.select(first_of(df, FROM, "string").alias("src"), first_of(df, TO, "string").alias("dst"), cost.alias("own"), first_of(df, DISTANCE, "double").alias("long"))
     e = e.join(nodes.select(F.col("id").alias("src"), F.col("lon").alias("x1"), F.col("lat").alias("y1")), "src").join(nodes.select(F.col("id").alias("dst"), F.col("lon").alias("x2"), F.col("lat").alias("y2")), "dst")
-    away = haversine_m(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")) if named else F.lit(None).cast("double")
-    e = e.select("src", "dst", F.coalesce("own", away).alias("cost"))
+    away = haversine_m(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    e = e.select("src", "dst", (F.coalesce("own", away) if named else F.col("own")).alias("cost"), F.coalesce("long", away).alias("meters"))
     e = e.withColumn("cost", F.when(F.col("cost") >= 0, F.col("cost")).otherwise(F.raise_error(F.concat(F.lit("no cost, or a negative one, on edge "), "src", F.lit(" - "), "dst"))))
     if undirected:
-        e = e.unionAll(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost"))
-    return e.groupBy("src", "dst").agg(F.min("cost").alias("cost"))
+        e = e.unionAll(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost", "meters"))
+    return e.groupBy("src", "dst").agg(F.min(F.struct("cost", "meters")).alias("m")).select("src", "dst", "m.cost", "m.meters")
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -80,6 +83,39 @@ def path(costs: DataFrame, goal: str) -> list[tuple[str, float]]:
     return out[::-1]
 
 
+def route(nodes: DataFrame, edges: DataFrame, start: str, goal: str) -> DataFrame:
+    """One row: node_ids, edge_count, cost, distance_meters and the LineString of the cheapest way; no row if there is none.
+
+    The distance is null if an edge has neither a distance nor the coordinates for one; nodes without coordinates and
+    repeated positions are left out of the line, which is null below two positions.
+    """
+    spark = edges.sparkSession
+    way = path(shortest(edges, start), goal)
+    steps = spark.createDataFrame([(i, k, c, way[i - 1][0] if i else None) for i, (k, c) in enumerate(way)], "i int, id string, cost double, src string")
+    # a way is short beside the graph, but its length is not bounded: no hint, so that sizes decide
+    at = steps.join(nodes.select("id", "lon", "lat").dropDuplicates(["id"]), "id", "left")
+    at = at.join(edges.select("src", F.col("dst").alias("id"), "meters"), ["src", "id"], "left")
+    rows = F.array_sort(F.collect_list(F.struct("i", "id", "cost", "meters", "lon", "lat")))
+    out = at.agg(rows.alias("p")).where(F.size("p") > 0)
+    points = F.transform(F.filter("p", lambda x: x["lon"].isNotNull() & x["lat"].isNotNull()), lambda x: F.array(x["lon"], x["lat"]))
+    out = out.withColumn("q", points).withColumn("q", F.filter("q", lambda x, i: (i == 0) | (x != F.try_element_at("q", F.greatest(i, F.lit(1))))))
+    line = F.to_json(F.struct(F.lit("LineString").alias("type"), F.col("q").alias("coordinates")))
+    return out.select(
+        F.transform("p", lambda x: x["id"]).alias("node_ids"), (F.size("p") - 1).alias("edge_count"), F.element_at("p", -1)["cost"].alias("cost"),
+        F.aggregate(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))), F.lit(0.0), lambda a, x: a + x["meters"]).alias("distance_meters"),
+        F.when(F.size("q") > 1, line).alias("geometry"),
+    )
+
+
+def reachable_features(nodes: DataFrame, costs: DataFrame, max_cost: float) -> DataFrame:
+    """(geometry, properties): the hull of the reached nodes as a Polygon, if they have one, and a Point for each."""
+    at = costs.join(nodes.where("lon IS NOT NULL AND lat IS NOT NULL").select("id", "lon", "lat"), "id")
+    props = F.to_json(F.struct(F.col("id").alias("node_id"), "cost", F.lit(True).alias("reachable")))
+    area = convex_hulls(at.select(F.lit(0).alias("all"), "lon", "lat"), "all", "lon", "lat").where("hull IS NOT NULL")
+    about = F.to_json(F.struct(F.lit(float(max_cost)).alias("max_cost"), F.lit("convex_hull").alias("method")))
+    return area.select(F.col("hull").alias("geometry"), about.alias("properties")).unionAll(at.select(point_json(F.col("lon"), F.col("lat")), props))
+
+
 def reachable(edges: DataFrame, start: str, max_cost: float) -> DataFrame:
     if max_cost <= 0:
         raise ValueError("max_cost must be positive")

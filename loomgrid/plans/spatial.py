@@ -97,13 +97,17 @@ def incremental_index(spark: SparkSession, d: str) -> DataFrame:
     return index.agg(F.count("*").alias("objects"), F.count_if(F.size("embedding") == 2).alias("fresh")).crossJoin(report)
 
 
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return routing.nodes_of(table(spark, d, "supplier").select(k.cast("string").alias("id"), (k % 36).cast("double").alias("lon"), (k % 17).cast("double").alias("lat")))
+
+
 def _graph(spark: SparkSession, d: str) -> DataFrame:
     """All suppliers as nodes with three edges each; the ends wrap around at the number of suppliers."""
     s = table(spark, d, "supplier")
     k, m = F.col("s_suppkey"), F.lit(max(1, s.count()))
-    nodes = s.select(k.cast("string").alias("id"), (k % 36).cast("double").alias("lon"), (k % 17).cast("double").alias("lat"))
     edges = s.select(k.cast("string").alias("from"), F.explode(F.array(k % m + 1, k * 7 % m + 1, k * 13 % m + 1).cast("array<string>")).alias("to"), (k % 9 + 1).cast("double").alias("weight"))
-    return routing.edges_of(edges, routing.nodes_of(nodes), "cost")
+    return routing.edges_of(edges, _nodes(spark, d), "cost")
 
 
 def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -114,6 +118,26 @@ def reachable(spark: SparkSession, d: str) -> DataFrame:
     return routing.reachable(_graph(spark, d), "1", 12.0)
 
 
+def reachable_features(spark: SparkSession, d: str) -> DataFrame:
+    """The reachable nodes on a map: what geometries there are, and the cost of the nodes."""
+    f = routing.reachable_features(_nodes(spark, d), routing.shortest(_graph(spark, d), "1", 12.0), 12.0)
+    kind = geo.geometry_type(F.col("geometry")).alias("kind")
+    return f.groupBy(kind).agg(F.count("*").alias("n"), F.sum(F.get_json_object("properties", "$.cost").cast("double")).alias("cost"))
+
+
+def view_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """The map box of all places, and of those on one parallel, which is widened."""
+    p = _places(spark, d).select(geo.point_json(F.col("lon"), F.col("lat")).alias("g"), geo.point_json(F.col("lon"), F.lit(7.0)).alias("h"))
+    return geo.view_bounds(p, "g").unionAll(geo.view_bounds(p, "h"))
+
+
+def route_answer(spark: SparkSession, d: str) -> DataFrame:
+    """The cheapest way to node 50: its cost, and whether its line and list of nodes fit its number of edges."""
+    r = routing.route(_nodes(spark, d), _graph(spark, d), "1", "50")
+    last = F.element_at("node_ids", -1).alias("goal")
+    return r.select("cost", (F.size("node_ids") == F.col("edge_count") + 1).alias("whole"), last, (F.size(geo.xs(F.col("geometry"))) <= F.size("node_ids")).alias("line"), (F.col("distance_meters") >= 0).alias("measured"))
+
+
 def route_path(spark: SparkSession, d: str) -> DataFrame:
     way = routing.path(routing.shortest(_graph(spark, d), "1"), "50")
     return spark.createDataFrame([(len(way) - 1, way[-1][1], json.dumps([way[0][0], way[-1][0]]))], "edges long, cost double, ends string")
@@ -123,7 +147,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         haversine_pairs, nearest_node, bbox_filter, geo_sql, lonlat_features, geo_summary, quality_report, explode_multi, simplify_lines, convex_hulls,
-        cosine_topk, incremental_index, shortest_paths, reachable, route_path,
+        cosine_topk, incremental_index, shortest_paths, reachable, reachable_features, route_answer, view_bounds, route_path,
     )
 }
 
@@ -154,5 +178,9 @@ ORACLES = {
     "incremental_index": """SELECT count(*) AS objects, count(*) FILTER (n_nationkey >= 20 OR n_nationkey % 2 = 1) AS fresh,
         count(*) FILTER (n_nationkey < 20 AND n_nationkey % 2 = 0) AS unchanged, count(*) FILTER (n_nationkey >= 20 OR n_nationkey % 2 = 1) AS embedded, 5 AS removed FROM nation WHERE n_nationkey >= 5""",
     "shortest_paths": f"WITH RECURSIVE {_G} SELECT CAST(id AS VARCHAR) AS id, cost FROM r",
+    "reachable_features": f"WITH RECURSIVE {_G}, n AS (SELECT cost FROM r WHERE cost <= 12) SELECT 'Point' AS kind, count(*) AS n, sum(cost) AS cost FROM n UNION ALL SELECT 'Polygon', 1, NULL",
+    "view_bounds": f"""WITH {_P} SELECT min(lon) AS min_x, min(lat) AS min_y, max(lon) AS max_x, max(lat) AS max_y FROM p
+        UNION ALL SELECT min(lon), 6.99, max(lon), 7.01 FROM p""",
+    "route_answer": f"WITH RECURSIVE {_G} SELECT cost, true AS whole, '50' AS goal, true AS line, true AS measured FROM r WHERE id = 50",
     "reachable": f"WITH RECURSIVE {_G} SELECT CAST(id AS VARCHAR) AS id, cost FROM r WHERE cost <= 12",
 }

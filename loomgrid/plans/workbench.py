@@ -37,6 +37,29 @@ def column_profile(spark: SparkSession, d: str) -> DataFrame:
     return got.withColumn("sum", F.round("sum", 4)).withColumn("avg", F.round("avg", 4))
 
 
+def column_ranges(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.when(F.col("o_orderkey") % 5 == 0, " ").otherwise(F.col("o_orderpriority")).alias("o_orderpriority"))
+    return profile.column_ranges(o).withColumn("avg", F.round("avg", 4)).withColumn("examples", F.array_join("examples", ", "))
+
+
+def log_view(spark: SparkSession, d: str) -> DataFrame:
+    """The last lines by id that name a user whose id starts with 1."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("severity"), F.concat(F.lit("user "), F.coalesce(F.col("user_id").cast("string"), F.lit("?"))).alias("msg"))
+    return profile.log_view(e, "id", "USER 1")
+
+
+def score_percents(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    key = F.col("p_partkey")
+    share = F.when(key % 7 == 0, "x").otherwise((key % 160 - 10).cast("string"))
+    return p.select("p_partkey", text.score_percent(key % 1001 / F.lit(1000.0)).alias("percent"), F.round(text.parse_share(share, 0.25), 4).alias("share"))
+
+
+def byte_sizes(spark: SparkSession, d: str) -> DataFrame:
+    n = F.octet_length("text").cast("long")
+    return table(spark, d, "documents").select("doc_id", text.byte_size(n).alias("size"), text.byte_size(n * n * n).alias("cube"), text.percent_of(n, F.lit(4096)).alias("percent"))
+
+
 def top_values(spark: SparkSession, d: str) -> DataFrame:
     return profile.top_values(table(spark, d, "orders").select("o_orderstatus", "o_orderpriority", "o_custkey")).withColumn("rank", F.col("rank").cast("long"))
 
@@ -116,7 +139,7 @@ def jaro_winkler(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        cell_kinds, infer_columns, column_profile, top_values, pivot_summary, quick_chart, spec_chart_avg, log_lines, canonical_names,
+        cell_kinds, infer_columns, column_profile, column_ranges, log_view, score_percents, byte_sizes, top_values, pivot_summary, quick_chart, spec_chart_avg, log_lines, canonical_names,
         house_numbers, numeric_scores, ean_codes, match_token_set, match_grouped, match_stats, jaro_winkler,
     )
 }
@@ -157,6 +180,21 @@ ORACLES = {
         {f'round(sum({e}), 4)' if num == 'true' else 'NULL'} AS sum, {f'round(sum({e}) / count({e}), 4)' if num == 'true' else 'NULL'} AS avg FROM orders"""
         for c, e, num in (("o_orderkey", "o_orderkey", "true"), ("o_custkey", "o_custkey", "true"), ("o_orderstatus", "o_orderstatus", "false"), ("o_orderpriority", "o_orderpriority", "false"), ("price", "round(o_totalprice, 2)", "true"))
     ),
+    "column_ranges": " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) AS rows, count(*) FILTER (trim(coalesce(v, '')) <> '') AS non_empty, count(DISTINCT coalesce(v, '')) AS "distinct",
+        {f'min(CAST(v AS DOUBLE)) AS min, max(CAST(v AS DOUBLE)) AS max, round(avg(CAST(v AS DOUBLE)), 4) AS avg' if num else 'CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max, CAST(NULL AS DOUBLE) AS avg'},
+        array_to_string(list_sort(list_distinct(list(v) FILTER (trim(v) <> '')))[1:5], ', ') AS examples FROM (SELECT CAST({e} AS VARCHAR) AS v FROM orders)"""
+        for c, e, num in (("o_orderkey", "o_orderkey", True), ("o_custkey", "o_custkey", True), ("o_orderstatus", "o_orderstatus", False),
+                          ("o_orderpriority", "CASE WHEN o_orderkey % 5 = 0 THEN ' ' ELSE o_orderpriority END", False))
+    ),
+    "log_view": f"""WITH e AS (SELECT event_id, event_type, coalesce(CAST(user_id AS VARCHAR), '?') AS u, CASE {' '.join(f"WHEN regexp_matches(lower(coalesce(event_type, '')), '{p}') THEN '{lv}'" for lv, p in text.LEVELS.items())} ELSE 'default' END AS level
+        FROM events ORDER BY event_id DESC LIMIT 1000)
+        SELECT level, '[' || upper(level) || '] user ' || u || ' id=' || event_id || ' severity=' || coalesce(event_type, '') AS text FROM e WHERE u LIKE '1%'""",
+    "score_percents": """SELECT p_partkey, CAST(floor(p_partkey % 1001 / 1000.0::DOUBLE * 100 + 0.5) AS BIGINT) AS percent,
+        round(CASE WHEN p_partkey % 7 = 0 THEN 0.25 WHEN p_partkey % 160 - 10 > 1 THEN least((p_partkey % 160 - 10) / 100.0::DOUBLE, 1) ELSE greatest(p_partkey % 160 - 10, 0) END::DOUBLE, 4) AS share FROM part""",
+    "byte_sizes": f"""WITH b AS (SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n FROM documents), c AS (SELECT *, n * n * n AS m FROM b) SELECT doc_id,
+        {', '.join("CASE WHEN coalesce(" + v + ", 0) <= 0 THEN '0 B' WHEN " + v + " < 1024 THEN " + v + " || ' B' " + ' '.join(f"WHEN {v} < {1024 ** (k + 1)} THEN printf('%.1f {u}iB', {v} / {1024 ** k}.0::DOUBLE)" for k, u in enumerate('KMGTP', 1)) + ' END AS ' + name for v, name in (('n', 'size'), ('m', 'cube')))},
+        least(n * 100 // 4096, 100) AS percent FROM c""",
     "top_values": """WITH c AS (SELECT 'o_orderstatus' AS "column", o_orderstatus AS value FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders
         UNION ALL SELECT 'o_custkey', CAST(o_custkey AS VARCHAR) FROM orders), n AS (SELECT "column", value, count(*) AS n FROM c GROUP BY 1, 2)
         SELECT "column", value, n, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS rank FROM n QUALIFY rank <= 8""",

@@ -1,3 +1,4 @@
+import json
 import time
 from datetime import datetime, timedelta
 
@@ -78,6 +79,80 @@ def test_routing(spark):
     assert routing.nearest_node(nodes, 1.1, 0.0).first()["id"] == "b"
 
 
+def test_route_answer(spark):
+    nodes = routing.nodes_of(spark.createDataFrame([("a", 0.0, 0.0), ("b", 0.0, 1.0), ("c", 1.0, 2.0), ("d", None, None), ("e", 5.0, 5.0)], "id string, lat double, lon double"))
+    e = spark.createDataFrame([("a", "b", 1.0, 70.0), ("b", "c", 1.0, None), ("a", "c", 5.0, 1.0), ("c", "d", 1.0, None)], "source string, target string, weight double, length double")
+    g = routing.edges_of(e, nodes)
+    r = routing.route(nodes, g, "a", "c").first()
+    assert r["node_ids"] == ["a", "b", "c"] and r["edge_count"] == 2 and r["cost"] == 2.0 and 157_000 < r["distance_meters"] < 157_500
+    assert r["geometry"] == '{"type":"LineString","coordinates":[[0.0,0.0],[1.0,0.0],[2.0,1.0]]}'
+    far = routing.route(nodes, g, "a", "d").first()
+    assert far["cost"] == 3.0 and far["distance_meters"] is None and far["geometry"] == r["geometry"]
+    here = routing.route(nodes, g, "a", "a").first()
+    assert here["edge_count"] == 0 and here["distance_meters"] == 0.0 and here["geometry"] is None
+    assert routing.route(nodes, g, "a", "e").count() == 0
+    f = routing.reachable_features(nodes, routing.reachable(g, "a", 9.0), 9.0).collect()
+    assert sorted(json.loads(x["geometry"])["type"] for x in f) == ["Point", "Point", "Point", "Polygon"]
+
+
+def test_geometry_members(spark):
+    from loomgrid.operators import geo
+
+    cases = {
+        '{"type":"Point","bbox":[200,1,200,1],"coordinates":[3,4]}': (True, 3.0),
+        '{"type":"LineString","coordinates":[["a",9],[1,2],[3,4]]}': (False, 1.0),
+        '{"type":"LineString","coordinates":[[1,2],[3,4]]}': (True, 1.0),
+        '{"type":"GeometryCollection","geometries":[{"type":"Point","bbox":[-9,1,200,1],"coordinates":[3,4]}]}': (True, 3.0),
+        '{"type":"Point","coordinates":[]}': (False, None),
+        "no json": (False, None),
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "g string")
+    assert {r[0]: (r[1], r[2]) for r in df.select("g", geo.is_valid(df.g), geo.bbox(df.g).min_x).collect()} == cases
+    ring = [[0, 0], [5, 0.1], [10, 0], [10, 10], [0, 10], [0, 0]]
+    assert geo.thin_ring(ring, 1.0) == [[0, 0], [10, 0], [10, 10], [0, 10], [0, 0]]
+    triangle = [[0, 0], [5, 0.1], [10, 0], [0, 10], [0, 0]]
+    assert geo.thin_ring(triangle, 1.0) == triangle  # three open points would be left
+    one = geo.view_bounds(spark.createDataFrame([('{"type":"Point","coordinates":[1,2]}',)], "g string"), "g").first()
+    assert tuple(one) == (0.99, 1.99, 1.01, 2.01)
+
+
+def test_small_texts(spark):
+    from pyspark.sql import functions as F
+
+    one = lambda e: spark.range(1).select(e).first()[0]
+    assert [one(text.parse_share(F.lit(x), 0.5)) for x in ("60", "0.6", "-1", "900", "", "x")] == [0.6, 0.6, 0.0, 1.0, 0.5, 0.5]
+    assert one(text.code_fence_body(F.lit("```sql\nSELECT 1\n```\n"))) == "SELECT 1" and one(text.code_fence_body(F.lit(" SELECT 2 "))) == "SELECT 2"
+    assert one(text.has_sql_word(F.lit("drop TABLE t"), "drop")) and not one(text.has_sql_word(F.lit("SELECT dropped"), "drop"))
+    assert one(text.trimmed(F.lit(" abcdef "), 3)) == "abc\n[truncated]" and one(text.percent_of(F.lit(5), F.lit(0))) == 0 and one(text.percent_of(F.lit(3), F.lit(2))) == 100
+    assert [one(text.byte_size(F.lit(n))) for n in (0, 5, 1024, 1536, 1 << 20)] == ["0 B", "5 B", "1.0 KiB", "1.5 KiB", "1.0 MiB"]
+
+
+def test_match_limits(spark):
+    a = spark.createDataFrame([(i, f"common {i}") for i in range(30)], "id int, name string")
+    rule = [linkage.Rule("name", "name", "token_set")]
+    assert linkage.match(a, a, "id", "id", rule, review=0.9, max_comparisons=900, max_rows=30).count() == 30
+    with pytest.raises(ValueError, match="899 comparisons"):
+        linkage.match(a, a, "id", "id", rule, max_comparisons=899)
+    with pytest.raises(ValueError, match="over 29 rows"):
+        linkage.match(a, a, "id", "id", rule, max_rows=29)
+
+
+def test_ddl(spark):
+    spark.sql("DROP VIEW IF EXISTS made_view")
+    spark.sql("DROP TABLE IF EXISTS made_table")
+    catalog.create_table(spark, "made_table", {"a.b": "VARCHAR(20)", "ID": "text", "v": "NUMERIC(10,2)"})
+    assert [(f.name, f.dataType.simpleString()) for f in spark.table("made_table").schema] == [("id", "bigint"), ("a.b", "string"), ("v", "double")]
+    catalog.create_view(spark, "made_view", "SELECT id FROM made_table;")
+    assert catalog.view_script(spark, "made_view", alter=True) == "ALTER VIEW `made_view` AS SELECT id FROM made_table"
+    with pytest.raises(PermissionError):
+        catalog.create_view(spark, "made_view", "DELETE FROM made_table", replace=True)
+    with pytest.raises(ValueError):
+        catalog.view_script(spark, "made_table")
+    spark.sql("DROP VIEW made_view")
+    catalog.drop_table(spark, "made_table")
+    assert not spark.catalog.tableExists("made_table")
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0])], "id int, v array<double>")
     assert [(r["id"], r["_vec_rank"]) for r in vectors.top_k(df, "v", [1.0, 0.0], 1, order="id").collect()] == [(1, 1)]
